@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
+from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .sstable import token_shards
+from .token_counts import token_counts
+
+WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
+#: Size of the byte tokenizer's vocabulary, and the id that ends a document in its token shards.
+BYTE_VOCAB, END_ID = 50_257, 2
+#: Tokens of a document beyond which it is over the limit.
+TOKEN_LIMIT = 2048
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return bpe_round_trip(docs, public_tokenizers.path(WORD_TOKENIZER), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return token_shards(docs, public_tokenizers.path(BYTE_TOKENIZER), BYTE_VOCAB, END_ID)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    counts = token_counts(docs, public_tokenizers.path(WORD_TOKENIZER))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +53,9 @@ FROM n WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id)
 """
 
 QUERIES = {
+    "op5_bpe": op5_bpe,
+    "op6_token_shards": op6_token_shards,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
