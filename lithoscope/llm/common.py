@@ -159,3 +159,20 @@ def slices_by_bytes(column, most: int):
         size += int(n)
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def words_in_blocks(data: np.ndarray, is_word: np.ndarray, most: int = 1 << 20):
+    """words_of over blocks of about ``most`` bytes, cut where no word is: arrays of starts, ends and codes of the whole."""
+    parts, at, n = [], 0, len(data)
+    while at < n:
+        end = min(n, at + most)
+        while end < n and is_word[data[end - 1]]:  # move on to the next byte outside of words
+            gap = np.flatnonzero(~is_word[data[end : end + most]])
+            end = end + int(gap[0]) + 1 if len(gap) else min(n, end + most)
+        starts, ends, codes = words_of(LOWER[data[at:end]], is_word)
+        parts.append((starts + at, ends + at, codes))
+        at = end
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))

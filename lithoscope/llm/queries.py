@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .bpe import bpe_round_trip
+from .decontaminate import find_phrases, is_contaminated, items_digest, n_hit
 from .exact_dedup import exact_dedup
 from .sstable import token_shards
 from .token_counts import token_counts
@@ -19,6 +20,13 @@ BYTE_VOCAB, END_ID = 50_257, 2
 TOKEN_LIMIT = 2048
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_phrases(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), items_digest().alias("items_sha256"), is_contaminated().alias("contaminated")
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return bpe_round_trip(docs, public_tokenizers.path(WORD_TOKENIZER), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -53,6 +61,7 @@ FROM n WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id)
 """
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_token_shards": op6_token_shards,
     "op9_token_counts": op9_token_counts,
