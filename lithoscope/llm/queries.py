@@ -10,6 +10,8 @@ from . import common
 from .bpe import bpe_round_trip
 from .decontaminate import find_phrases, is_contaminated, items_digest, n_hit
 from .exact_dedup import exact_dedup
+from .quality import classify_quality
+from .secrets import scan_secrets
 from .sstable import token_shards
 from .token_counts import token_counts
 
@@ -37,6 +39,16 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(docs, public_tokenizers.path(BYTE_TOKENIZER), BYTE_VOCAB, END_ID)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(common.table(spark, sf_dir, "documents"))
+    shown = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(shown, ",").alias("spans"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     counts = token_counts(docs, public_tokenizers.path(WORD_TOKENIZER))
@@ -64,6 +76,8 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_token_shards": op6_token_shards,
+    "op7_secrets": op7_secrets,
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
