@@ -10,6 +10,7 @@ from . import common
 from .bpe import bpe_round_trip
 from .decontaminate import find_phrases, is_contaminated, items_digest, n_hit
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .quality import classify_quality
 from .secrets import scan_secrets
 from .sstable import token_shards
@@ -22,6 +23,10 @@ BYTE_VOCAB, END_ID = 50_257, 2
 TOKEN_LIMIT = 2048
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(common.table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_phrases(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -73,6 +78,7 @@ FROM n WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id)
 """
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_token_shards": op6_token_shards,
