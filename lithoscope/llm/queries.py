@@ -14,6 +14,7 @@ from .near_dedup import near_dedup
 from .quality import classify_quality
 from .secrets import scan_secrets
 from .sstable import token_shards
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -27,6 +28,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(common.table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(common.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_phrases(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -79,6 +84,7 @@ FROM n WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id)
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_token_shards": op6_token_shards,
