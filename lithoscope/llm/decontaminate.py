@@ -180,7 +180,9 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if len(blocks) == 1:
         return _search(docs, blocks[0], names, text_col, window)
     row = "__row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())  # the same for every block: the scan is the same
+    # Stored, so that every block meets the same numbers whatever the rows' source does when it is read again.
+    numbered = docs.select(*[docs[n] for n in dict.fromkeys([*names, text_col])]).withColumn(row, F.monotonically_increasing_id())
+    numbered = common.stored(numbered, f"{common.shared_dir(docs.sparkSession)}/numbered")
     out = _search(numbered, blocks[0], [*names, row], text_col, window)
     for block in blocks[1:]:
         more = _search(numbered.select(id_col, text_col, row), block, [row], text_col, window)
