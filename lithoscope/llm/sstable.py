@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenizing import encode_pieces, split_before_spaces
+from .tokenizing import packed_ids
 
 MAGIC = b"LITHSST\n"
 FOOTER = struct.Struct("<QQQQBBQQQ")
@@ -39,8 +39,6 @@ FOOTER = struct.Struct("<QQQQBBQQQ")
 BLOCK_BYTES, SHARD_BYTES = 1 << 15, 8 << 20
 #: Bits of the Bloom filter per key and hashes of a key: about 1 % false positives.
 FILTER_BITS, FILTER_HASHES = 10, 7
-#: Distinct pieces whose ids a worker keeps.
-CACHED = 250_000
 
 _NULL = b"\x01" + bytes(8)
 
@@ -183,13 +181,6 @@ class Shard:
         return found
 
 
-class _Ids(dict):
-    """Ids of pieces as packed bytes."""
-
-
-_ids: dict[tuple, _Ids] = {}
-
-
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", special: str = "<|endoftext|>") -> None:
     """Encode every document, append end_id, and write shards in ascending order of identifiers."""
     import pyarrow as pa
@@ -197,22 +188,17 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: in
     width = 2 if max(vocab_size, end_id + 1) <= 1 << 16 else 4
 
     def run(batches):
-        known = _ids.setdefault((tokenizer_path, width), _Ids())
+        codec = packed_ids(tokenizer_path, width, special)
         place = TaskContext.get().partitionId() << 32  # ranges ascend with the partitions
         shard, end = ShardWriter(width, place), end_id.to_bytes(width, "little")
         for batch in batches:
             for a, b in common.slices_by_bytes(batch.column(1), 1 << 20):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                pieces = [[t] if special in t else split_before_spaces(t) for t in texts]
-                new = list(set().union(*pieces).difference(known))
-                known.update((p, np.array(e.ids, f"<u{width}").tobytes()) for p, e in zip(new, encode_pieces(tokenizer_path, new), strict=True))
-                for doc_id, own in zip(batch.column(0).slice(a, b - a).to_pylist(), pieces, strict=True):
-                    shard.add(key_of(doc_id), b"".join(map(known.__getitem__, own)) + end)
+                for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), codec.encode(texts), strict=True):
+                    shard.add(key_of(doc_id), ids + end)
                     if shard.size + len(shard.block) >= SHARD_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array([shard.finish()], pa.binary())], names=["shard"])
                         shard = ShardWriter(width, shard.place + 1)
-                if len(known) > CACHED:
-                    known.clear()
         if shard.keys:
             yield pa.RecordBatch.from_arrays([pa.array([shard.finish()], pa.binary())], names=["shard"])
 

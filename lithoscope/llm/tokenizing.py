@@ -6,6 +6,8 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
+
 #: A cut before white space that follows other characters: no pre-token spans it and no pattern looks back over it.
 _PIECES = re.compile(r"\s*\S+|\s+")
 #: Characters that Python counts as white space and Unicode's White_Space property does not.
@@ -43,3 +45,87 @@ def encode_pieces(path: str, pieces: list[str], most: int = 1 << 18):
         size += len(p)
     if batch:
         yield from tok.encode_batch_fast(batch, add_special_tokens=False)
+
+
+#: Marks that are pre-tokens apart from letters and digits before them.
+MARKS = ".,!|#$%&*;:?)"
+
+
+class PackedIds:
+    """Ids of texts as packed little-endian integers; each distinct piece is encoded by the library once.
+
+    New pieces are joined and encoded together: no pre-token spans two of them, and the lengths of the
+    vocabulary's strings tell where each one's ids end.
+    """
+
+    #: Distinct pieces that are kept, and bytes that are encoded together.
+    CACHED, JOINED = 600_000, 1 << 16
+
+    def __init__(self, path: str, width: int, special: str):
+        self.tok, self.width, self.special = tokenizer(path), width, special
+        size = self.tok.get_vocab_size()
+        self.lengths = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)  # a letter stands for a byte
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces that follow one another without a shared pre-token."""
+        at, n = 0, len(pieces)
+        sizes = np.fromiter((len(p.encode()) for p in pieces), np.int64, n)
+        ends = np.cumsum(sizes)
+        while at < n:
+            base = int(ends[at] - sizes[at])
+            to = max(at + 1, int(np.searchsorted(ends, base + self.JOINED)))
+            ids = np.array(self.tok.encode_batch_fast(["".join(pieces[at:to])], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends[at:to] - base) + 1
+            packed, before = ids.astype(f"<u{self.width}").tobytes(), 0
+            for p, cut in zip(pieces[at:to], (cuts * self.width).tolist(), strict=True):
+                self.known[p] = packed[before:cut]
+                before = cut
+            at = to
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.CACHED:
+            self.known.clear()
+        out: list = [None] * len(texts)
+        flat: list[str] = []
+        spans = []
+        for i, text in enumerate(texts):
+            if self.special in text or _SEPARATORS.search(text):
+                out[i] = self.whole(text)
+            else:
+                start = len(flat)
+                flat += _PIECES.findall(text)
+                spans.append((i, start, len(flat)))
+        ids = list(map(self.known.get, flat))
+        missing = [k for k, v in enumerate(ids) if v is None]
+        if missing:
+            # Letters and digits share no pre-token with these marks after them, so most words are met without.
+            split: dict[str, tuple[str, str]] = {}
+            new: dict[str, None] = {}
+            for p in dict.fromkeys(flat[k] for k in missing):
+                core = p.rstrip(MARKS)
+                if core != p and core[-1:].isalnum():
+                    split[p] = core, p[len(core) :]
+                    new[core] = new[split[p][1]] = None
+                else:
+                    new[p] = None
+            new = {p: None for p in new if p not in self.known}
+            # Only pieces of white space and then others can follow one another as they do in a text.
+            alone = [p for p in new if p.isspace() or not p[0].isspace()]
+            self.known.update(zip(alone, map(self.whole, alone), strict=True))
+            self.learn([p for p in new if p not in self.known])
+            for p, (core, marks) in split.items():
+                self.known[p] = self.known[core] + self.known[marks]
+            for k in missing:
+                ids[k] = self.known[flat[k]]
+        for i, a, b in spans:
+            out[i] = b"".join(ids[a:b])
+        return out
+
+
+@lru_cache(maxsize=2)
+def packed_ids(path: str, width: int, special: str) -> PackedIds:
+    return PackedIds(path, width, special)
