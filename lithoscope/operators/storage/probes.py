@@ -98,16 +98,22 @@ def probes(df: DataFrame, types: dict[str, LogicalType] | None = None, exact: bo
     return fused(df, {".".join(p): probe(p, t, exact) for p, t in targets(types)}, FIELDS)
 
 
+#: Rows of a file that are compared in one window.
+CHUNK_ROWS = 1_000_000
+
+
 def is_sorted(df: DataFrame, name: str) -> DataFrame:
-    """One row with sorted: whether a column never falls in the order of the files.
+    """One row with sorted: whether a column of a Parquet source never falls from row to row, file by file.
 
-    Each partition reports its ends and whether it is sorted within; the ends of consecutive partitions are
-    compared after, so no task sees more than one partition and one row of each.
+    Rows are compared within chunks of a file; the ends of consecutive chunks are compared after, so no task
+    sees more than a chunk, or one row for each of them.
     """
     from pyspark.sql import Window
 
-    placed = df.select(column(name).alias("v"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")).where("v is not null")
-    within = Window.partitionBy("p").orderBy("i")
-    parts = placed.withColumn("falls", F.coalesce(F.col("v") < F.lag("v").over(within), F.lit(False))).groupBy("p").agg(F.min_by("v", "i").alias("a"), F.max_by("v", "i").alias("b"), F.bool_or("falls").alias("falls"))
-    ends = parts.withColumn("falls", F.col("falls") | F.coalesce(F.col("a") < F.lag("b").over(Window.orderBy("p")), F.lit(False)))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("i")]
+    rows = df.select(column(name).alias("v"), *place).where("v is not null").withColumn("chunk", F.expr(f"i DIV {CHUNK_ROWS}"))
+    within = Window.partitionBy("file", "chunk").orderBy("i")
+    falls = rows.withColumn("falls", F.coalesce(F.col("v") < F.lag("v").over(within), F.lit(False)))
+    chunks = falls.groupBy("file", "chunk").agg(F.min_by("v", "i").alias("a"), F.max_by("v", "i").alias("b"), F.bool_or("falls").alias("falls"))
+    ends = chunks.withColumn("falls", F.col("falls") | F.coalesce(F.col("a") < F.lag("b").over(Window.orderBy("file", "chunk")), F.lit(False)))
     return ends.agg((~F.coalesce(F.bool_or("falls"), F.lit(False))).alias("sorted"))
