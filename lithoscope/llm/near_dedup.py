@@ -8,9 +8,10 @@
 3. Nodes are dealt by band key and sorted; within a bucket each is proposed with the bucket's smallest only,
    never all pairs.  Each node keeps its best such partner by the sketches, and the full sets confirm it.
    These links point to smaller ids, so following them gives components.
-4. Buckets that still hold several components then propose pairs across components, of all members outside
-   the bucket's largest component with all members of others; sketches sift and full sets confirm these
-   too.  So every pair that shares a band and is similar enough ends in one component.
+4. Buckets that still hold several components are joined to groups, in which all nodes outside of the
+   largest component are compared with all nodes of others, block against block inside the tasks; sketches
+   sift and full sets confirm these too.  So every pair that shares a band and is similar enough ends in one
+   component, and no step gives out the pairs of a group.
 
 A pair at the similarity of 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS < 3e-6, and is sifted
 out by its sketches only if they are more than about five standard deviations off.
@@ -35,8 +36,8 @@ BANDS, ROWS = 42, 6
 #: Bits of an odd sketch (eight longs), and the most that two may differ in to be compared in full.
 SKETCH_BITS, MOST_BITS = 512, 136
 SEPARATORS = [(0x20, 0x20), (0x09, 0x0D)]
-#: Pairs with one node that are confirmed in one task.
-PAIRS_PER_TASK = 512
+#: Pairs with one node that are confirmed in one task, and shingles of a block of nodes that are compared at once.
+PAIRS_PER_TASK, BLOCK_SHINGLES = 512, 1 << 18
 
 IS_WORD = ~common.byte_class(SEPARATORS)
 _RNG = np.random.default_rng(1_234_577)
@@ -285,11 +286,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = confirm.pairs(best, "first")
     linked = roots(first.select(F.col("a").alias("doc_id"), F.col("b").alias("parent")), f"{path}/first")
 
-    across = _across(members, linked, path)
-    second = confirm.pairs(_sifted(across, sketches), "second")
+    across = _across(members, linked, sketches, confirm, path)
     top = linked.withColumnRenamed("doc_id", "node")
-    edges = second.select("a", "b") if repeated is None else second.select("a", "b").unionByName(repeated)
-    if not edges.isEmpty():
+    edges = across.unionByName(repeated) if across is not None and repeated is not None else across if repeated is None else repeated
+    if edges is not None and not edges.isEmpty():
         of = lambda c: linked.select(F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}"))
         between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
         between = between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
@@ -312,13 +312,89 @@ def _row_links(of_class: DataFrame) -> DataFrame:
     return of_class.join(nodes, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _across(members: DataFrame, linked: DataFrame, path: str) -> DataFrame:
-    """Distinct pairs a > b across components within a bucket, one of them outside of its largest component."""
+def _across(members: DataFrame, linked: DataFrame, sketches: DataFrame, confirm: _Confirm, path: str) -> DataFrame | None:
+    """Links (a, b) between components that share a bucket, stored; None if no bucket holds two components.
+
+    Buckets that still hold several components are joined to groups, and within a group every node outside of
+    the largest component is compared with every node of another one.  The comparison runs inside tasks, block
+    against block, each block bounded by the shingles in it; what comes out is one link per node and component
+    at most, not pairs.
+    """
     rows = members.select("key", "doc_id").join(linked, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root"))["root"].alias("largest")).where("parts > 1")
-    rows = common.stored(rows.join(mixed.select("key", "largest"), "key"), f"{path}/mixed")
-    minor = rows.where("root != largest").select("key", F.col("doc_id").alias("a"), F.col("root").alias("root_a"))
-    other = rows.select("key", F.col("doc_id").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("largest")).alias("major"))
-    pairs = minor.join(other, "key").where("root_a != root_b and (major or a > b)")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc_id").alias("least")).where("low != high")
+    rows = common.stored(rows.join(mixed.select("key", "least"), "key").select("doc_id", "root", "least").distinct(), f"{path}/mixed")
+    if rows.isEmpty():
+        return None
+    homes = components(rows.select(F.col("doc_id").alias("a"), F.col("least").alias("b")), f"{path}/homes").withColumnRenamed("root", "home")
+    nodes = common.stored(rows.select("doc_id", "root").distinct().join(homes, "doc_id"), f"{path}/nodes")
+    sets = common.stored(confirm.sets(nodes.select("doc_id")), f"{path}/across-sets")
+    full = common.stored(nodes.join(sketches, "doc_id").join(sets, "doc_id"), f"{path}/full")
+    size = F.octet_length("codes") / 8
+    parts = full.groupBy("home", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("shingles"))
+    groups = parts.groupBy("home").agg(F.max(F.struct("n", "root", "shingles")).alias("most"), F.sum("shingles").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    groups = groups.select("home", F.col("most.root").alias("largest"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("most.shingles")).alias("minor_blocks"))
+    groups = common.stored(groups, f"{path}/groups")
+    placed = full.join(common.small_or_shuffled(groups, groups.count()), "home")
+    columns = ["home", "m", "b", "role", "doc_id", "root", "sketch", "codes"]
+    own = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    minors = placed.where("root != largest").withColumn("m", own("minor_blocks", 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = placed.withColumn("b", own("blocks", 2)).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)))
+    both = minors.withColumn("role", F.lit(0)).select(*columns).unionByName(others.withColumn("role", F.lit(1)).select(*columns))
+    units = both.repartition("home", "m", "b").sortWithinPartitions("home", "m", "b", "role")
+    found = units.mapInArrow(_compare_blocks(confirm.percent), "a bigint, b bigint")
+    return common.stored(found, f"{path}/across")
+
+
+class _Block:
+    """Nodes outside of the largest component, held to be compared with others that pass by."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.percent = percent
+        self.ids, self.roots, sketches, codes = (list(x) for x in zip(*rows, strict=True))
+        self.roots = np.array(self.roots, np.int64)
+        self.sketches = np.array(sketches, np.int64).view(np.uint64)
+        self.sizes = np.array([len(c) // 8 for c in codes], np.int64)
+        flat = np.frombuffer(b"".join(codes), np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.codes, self.owners = flat[order], np.repeat(np.arange(len(codes)), self.sizes)[order]
+        self.linked: set[tuple[int, int]] = set()
+
+    def links(self, doc_id: int, root: int, sketch: np.ndarray, codes: np.ndarray):
+        """(held node, doc_id) for each held node of another component that is similar enough, once per component."""
+        near = (np.bitwise_count(self.sketches ^ sketch).sum(1, dtype=np.int64) <= MOST_BITS) & (self.roots != root)
+        if not near.any():
+            return
+        low, high = np.searchsorted(self.codes, codes), np.searchsorted(self.codes, codes, side="right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(self.owners[at], minlength=len(self.ids))
+        for k in np.flatnonzero(near & (100 * both >= self.percent * (self.sizes + len(codes) - both))).tolist():
+            if (k, root) not in self.linked:
+                self.linked.add((k, root))
+                yield self.ids[k], doc_id
+
+
+def _compare_blocks(percent: int):
+    """A function over batches of units, in each the held nodes (role 0) first."""
+    import pyarrow as pa
+
+    def run(batches):
+        unit, held, block = None, [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            ids, roots = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            sketches, out = batch.column(6), []
+            for i, (*key, role) in enumerate(keys):
+                if key != unit:
+                    unit, held, block = key, [], None
+                sketch, codes = sketches[i].values.to_numpy(), batch.column(7)[i].as_py()
+                if role == 0:
+                    held.append((ids[i], roots[i], sketch, codes))
+                elif held:
+                    block = block or _Block(held, percent)
+                    out += block.links(ids[i], roots[i], sketch.view(np.uint64), np.frombuffer(codes, np.uint64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
