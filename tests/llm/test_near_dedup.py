@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lithoscope.llm import near_dedup as nd
 
@@ -49,7 +50,9 @@ def corpus(words, seed=3):
     return rows
 
 
-def test_against_brute_force(docs, words):
+@pytest.mark.parametrize("block", [1 << 18, 700])
+def test_against_brute_force(docs, words, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", block)
     rows = corpus(words)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_dedup(docs(rows), shingle=4).collect()}
     assert got == brute(rows, 4)
