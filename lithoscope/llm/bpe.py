@@ -17,11 +17,12 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Distinct pieces and words that a worker keeps; beyond it, it starts afresh.
-CACHED = 120_000
+CACHED = 400_000
 
 OUTPUTS = {
     "ids": T.ArrayType(T.IntegerType()),
@@ -191,7 +192,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 for text in texts.slice(start, 512).to_pylist():
                     ids, decoded = own.strings_of(text or "")
                     if "ids" in made:
-                        made["ids"].append([int(x) for x in ids.split()])
+                        made["ids"].append(np.fromstring(ids, np.int32, sep=" "))
                     if "decoded" in made:
                         made["decoded"].append(decoded)
                     if "n_tokens" in made:
@@ -200,10 +201,15 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                         made["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                     if "decoded_sha256" in made:
                         made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
+                if "ids" in made:
+                    ends = np.cumsum([0, *map(len, made["ids"])])
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made["ids"]), pa.int32()))
+                types = {"n_tokens": pa.int64()}
                 part = batch.slice(start, 512)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(len(names))] + [pa.array(made[o], types.get(o, pa.string())) for o in outputs], names=[f.name for f in schema]
+                    [part.column(i) for i in range(len(names))]
+                    + [made[o] if o == "ids" else pa.array(made[o], types.get(o, pa.string())) for o in outputs],
+                    names=[f.name for f in schema],
                 )
 
     return docs.select(*[docs[n] for n in names], docs[text_col].alias("__text")).mapInArrow(run, schema)
