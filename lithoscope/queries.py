@@ -15,6 +15,7 @@ from .operators import anomalies, correlations, profile, quality
 from .operators.storage import probes, sortkeys
 from .plans import console, grid
 from .plans.grid import Filter
+from .session import prepare
 
 AS_OF = dt.datetime(2000, 1, 1)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +23,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def register(name: str, sql: str | None, run: Callable[[SparkSession, str], DataFrame]) -> None:
