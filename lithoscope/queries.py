@@ -252,6 +252,23 @@ for _t, _cs in {"lineitem": "*", "conversations": "role, text", "documents": "te
     )
 register("dq_issues_documents", None, lambda s, d: quality.issue_frame(table(s, d, "documents"), AS_OF, exact=True))
 
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    found = quality.assess(table(s, d, "lineitem"), as_of=AS_OF, exact=True)
+    rows = [*found["dimensions"].items(), ("overall", found["score"])]
+    return s.createDataFrame(rows, "dimension string, score int")
+
+
+register("dq_scores_lineitem", None, _scores)
+
+
+def _tally(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame(profile.type_tally(grid.logical_types(table(s, d, "lineitem"))), "label string, n int")
+
+
+register("type_tally_lineitem", "SELECT label, n::INTEGER AS n FROM (VALUES ('DOUBLE', 4), ('INT64', 3), ('STRING', 2), ('INT32', 1), ('TIMESTAMP(MICROS)', 1)) AS v(label, n)", _tally)
+
 # ---- anomalies ------------------------------------------------------------------------------------------
 
 _FENCE = """SELECT '{c}' AS name, count({c}) AS count, round(p25, 4) AS p25, round(p75, 4) AS p75, round(p25 - 1.5 * (p75 - p25), 4) AS lo_fence, round(p75 + 1.5 * (p75 - p25), 4) AS hi_fence,
@@ -272,6 +289,15 @@ for _t, _cs in _ANOMALY.items():
         lambda s, d, t=_t, cs=_cs: anomalies.outliers(table(s, d, t), anomalies.fences(anomalies.spread(table(s, d, t), cs, exact=True))),
     )
 
+
+
+def _flags_of(s: SparkSession, d: str) -> DataFrame:
+    _, flags = anomalies.anomalies(table(s, d, "events"), exact=True)
+    return s.createDataFrame([(f.column, f.severity, f.code) for f in flags], "column string, severity string, code string")
+
+
+register("anomaly_flags_events", None, _flags_of)
+
 # ---- storage probes -------------------------------------------------------------------------------------
 
 _PROBE_NUM = "SELECT '{c}' AS name, count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\", round(min({c})::DOUBLE, 4) AS num_min, round(max({c})::DOUBLE, 4) AS num_max, bool_and({c} = trunc({c})) AS int_valued, bool_and({c} = {c}::FLOAT::DOUBLE) AS float_round_trips FROM {t}"

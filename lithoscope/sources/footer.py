@@ -235,3 +235,15 @@ def bloom_columns(spark: SparkSession, file: str) -> set[str]:
         return found
     finally:
         reader.close()
+
+
+def file_info(spark: SparkSession, path: str) -> dict:
+    """All that the footers say of a path, section by section; a section that fails is absent and its error kept under "errors"."""
+    sections = {"files": file_meta, "kv": kv_meta, "row_groups": lambda s, p: with_share(row_groups(s, p)), "columns": lambda s, p: column_rollup(column_chunks(s, p)), "schema": schema_nodes}
+    out: dict = {"errors": {}}
+    for name, read in sections.items():
+        try:
+            out[name] = [r.asDict() for r in read(spark, path).collect()]
+        except Exception as e:  # noqa: BLE001  whatever it is, the other sections can still be shown
+            out["errors"][name] = str(e)
+    return out

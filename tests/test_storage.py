@@ -118,6 +118,8 @@ def test_footers(spark, folder):
     kv = {r.key: r.value for r in footer.kv_meta(spark, path).collect()}
     assert footer.arrow_schema(kv["ARROW:schema"]).names == ["a", "n", "s"]
     assert footer.schema_nodes(spark, path).count() == 4
+    info = footer.file_info(spark, path)
+    assert info["errors"] == {} and len(info["row_groups"]) == 4 and len(info["columns"]) == 3
 
 
 def test_types_that_spark_cannot_infer(spark, folder):
@@ -184,3 +186,10 @@ def test_plan_notes_bloom_and_script(spark, folder):
     groups = footer.row_groups(spark, target).collect()
     assert max(g.num_rows for g in groups) <= 500
     assert rewrite.Report(400, 1000, 1, 1).saved_bytes == -600 and rewrite.Report(0, 1, 1, 1).saved_percent == 0
+
+
+def test_failing_sections_are_reported(spark, folder, monkeypatch):
+    path = put(folder, "partly", pa.table({"a": [1]}))
+    monkeypatch.setattr(footer, "kv_meta", lambda *a: 1 / 0)
+    info = footer.file_info(spark, path)
+    assert set(info["errors"]) == {"kv"} and info["files"][0]["num_rows"] == 1
