@@ -21,8 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import common
+
 #: Distinct pieces and words that a worker keeps; beyond it, it starts afresh.
-CACHED = 400_000
+CACHED = 200_000
+#: Characters of a text from which its pieces, which may be as long, are not kept.
+LONG = 1 << 20
 
 OUTPUTS = {
     "ids": T.ArrayType(T.IntegerType()),
@@ -142,13 +146,19 @@ class WordBpe:
             ids = list(map(self.piece_ids.__getitem__, pieces))
             out = list(map(self.piece_text.__getitem__, pieces))
         result = " ".join(ids), " ".join(out)
-        if len(self.piece_ids) > CACHED:
+        if len(self.piece_ids) > CACHED or len(text) > LONG:
             self.piece_ids.clear()
             self.piece_text.clear()
         if len(self.word_ids) > CACHED:
             self.word_ids.clear()
         return result
 
+    def forget(self) -> None:
+        """Empty all caches."""
+        self.piece_ids.clear()
+        self.piece_text.clear()
+        self.word_ids.clear()
+
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.strings_of(text)[0].split()]
 
@@ -185,6 +195,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         own = codec(path)
+        common.claim("bpe", own.forget)
         for batch in batches:
             texts = batch.column(len(names))
             for start in range(0, batch.num_rows, 512):

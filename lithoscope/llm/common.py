@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +75,27 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+# ---- caches of Python workers ------------------------------------------------------------------------
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def claim(operator: str, release: Callable[[], None] | None = None) -> None:
+    """Called where an operator starts in a worker: what other operators keep between tasks is released.
+
+    Workers are used again for later tasks and stages, so caches would otherwise add up over a pipeline.
+    """
+    others = [k for k in _caches if k != operator]
+    for k in others:
+        _caches.pop(k)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+    if release:
+        _caches[operator] = release
+
+
 # ---- vectorised passes over UTF-8 bytes -------------------------------------------------------------
 
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -143,6 +143,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], names: list[str], tex
             yield pa.RecordBatch.from_arrays([*columns, *made], names=schema.names)
 
     def run(batches):
+        common.claim("decontaminate")
         phrases = Phrases(shared.value, window)
         shard, held = Shard(phrases), []
         for batch in batches:

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 
 
 #: Most labelled and most unlabelled rows that the model is fitted on.
@@ -156,6 +158,7 @@ def _features_of(docs: DataFrame, extra: list[str]) -> tuple[np.ndarray, np.ndar
     import pyarrow as pa
 
     def run(batches):
+        common.claim("quality")
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -198,6 +201,7 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     schema = T.StructType([T.StructField(n, docs.schema[n].dataType) for n in names] + [T.StructField(score_name, T.DoubleType())])
 
     def run(batches):
+        common.claim("quality")
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

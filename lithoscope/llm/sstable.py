@@ -189,6 +189,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: in
 
     def run(batches):
         codec = packed_ids(tokenizer_path, width, special)
+        common.claim("sstable", codec.known.clear)
         place = TaskContext.get().partitionId() << 32  # ranges ascend with the partitions
         shard, end = ShardWriter(width, place), end_id.to_bytes(width, "little")
         for batch in batches:

@@ -31,6 +31,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         known = _lengths.setdefault((path, drops_spaces), {})
+        common.claim("token_counts", known.clear)
         for batch in batches:
             for a, b in common.slices_by_bytes(batch.column(1), SLICE_BYTES):
                 texts = batch.column(1).slice(a, b - a)

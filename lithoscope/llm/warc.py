@@ -120,6 +120,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, record
     import pyarrow as pa
 
     def run(batches):
+        common.claim("warc")
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -151,6 +152,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     names = ["origin", "record_type", "segment", "total", "refers_to", "stated_digest", "payload_bytes", "payload_digest", "complete", "block"]
 
     def run(batches):
+        common.claim("warc")
         for batch in batches:
             for file in batch.column(0):
                 data = file.as_py()
@@ -175,6 +177,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
+        common.claim("warc")
         for batch in batches:
             out = []
             for parts in batch.column(1):
