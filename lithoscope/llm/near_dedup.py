@@ -112,6 +112,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     import pyarrow as pa
 
     def run(batches):
+        common.claim("near_dedup")
         for batch in batches:
             for a, b in common.slices_by_bytes(batch.column(1), 1 << 20):
                 data, offsets = common.string_bytes(batch.column(1).slice(a, b - a))
@@ -139,6 +140,7 @@ def _bucket_members(rows: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
+        common.claim("near_dedup")
         key = least = None  # of the bucket that the last batch ended in
         alone = False  # its only row so far is not given out yet
         for batch in batches:
@@ -173,8 +175,8 @@ def _sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 class _Confirm:
     """Compares full shingle sets of pairs."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, path: str):
-        self.docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    def __init__(self, docs: DataFrame, size: int, percent: int, path: str):
+        self.docs = docs
         self.size, self.percent, self.path = size, percent, path
 
     def sets(self, ids: DataFrame) -> DataFrame:
@@ -184,6 +186,7 @@ class _Confirm:
         size = self.size
 
         def run(batches):
+            common.claim("near_dedup")
             for batch in batches:
                 for a, b in common.slices_by_bytes(batch.column(1), 1 << 20):
                     data, offsets = common.string_bytes(batch.column(1).slice(a, b - a))
@@ -191,9 +194,7 @@ class _Confirm:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "codes"])
 
         found = self.docs.join(common.small_or_shuffled(ids, ids.count()), "doc_id", "left_semi")
-        return found.dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, codes binary") if self.repeats else found.mapInArrow(run, "doc_id bigint, codes binary")
-
-    repeats = False
+        return found.mapInArrow(run, "doc_id bigint, codes binary")
 
     def pairs(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that are similar enough, stored.  A node of very many pairs is dealt to several tasks."""
@@ -202,6 +203,7 @@ class _Confirm:
         percent = self.percent
 
         def run(batches):
+            common.claim("near_dedup")
             for batch in batches:
                 a, b, first, second = (batch.column(i) for i in range(4))
                 good = []
@@ -262,22 +264,38 @@ def components(edges: DataFrame, path: str) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs; linked from ``percent`` hundredths of similarity on."""
-    spark = docs.sparkSession
-    path = common.shared_dir(spark)
-    signed = common.stored(_signatures(docs, id_col, text_col, shingle), f"{path}/signatures")
+    path = common.shared_dir(docs.sparkSession)
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    signed = common.stored(_signatures(docs, "doc_id", "text", shingle), f"{path}/signatures")
+    rows, ids = signed.where("doc_id is not null").agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return _near_dedup(docs, signed, shingle, percent, path)
+    # Ids that repeat: rows are numbered and linked by their texts, then rows of one id are joined.
+    row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    numbered = common.stored(docs.withColumn("row", row), f"{path}/numbered")
+    by_row = numbered.select(F.col("row").alias("doc_id"), "text")
+    out = _near_dedup(by_row, common.stored(_signatures(by_row, "doc_id", "text", shingle), f"{path}/signatures-by-row"), shingle, percent, f"{path}/by-row")
+    out = common.stored(out.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part")), f"{path}/parts")
+    own = numbered.select("row", "doc_id").where("row is not null").join(out, "row")
+    least = own.groupBy("doc_id").agg(F.min("part").alias("b"))
+    over = components(own.join(least, "doc_id").select(F.col("part").alias("a"), "b").distinct(), f"{path}/same-id")
+    joined = own.join(over.select(F.col("doc_id").alias("part"), "root"), "part", "left").withColumn("top", F.coalesce("root", "part"))
+    names = joined.groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    named = joined.join(names, "top").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    nameless = out.where("row is null").select(F.col("row").alias("doc_id"), "n_shingles", F.col("row").alias("component_id"), F.lit(True).alias("kept"))
+    return named.unionByName(nameless)
+
+
+def _near_dedup(docs: DataFrame, signed: DataFrame, shingle: int, percent: int, path: str) -> DataFrame:
     sets = signed.where("doc_id is not null and n_shingles > 0")
     classes = common.stored(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), f"{path}/classes")
     total = sets.count()
     of_class = common.join_hot(sets.select("doc_id", "digest"), classes, ["digest"], "size", total).select("doc_id", "node")
-    confirm = _Confirm(docs, id_col, text_col, shingle, percent, path)
-    confirm.repeats = total > classes.count() and sets.select("doc_id").distinct().count() < total
-    repeated = _row_links(of_class) if confirm.repeats else None
+    confirm = _Confirm(docs, shingle, percent, path)
 
     # One row per set: the document that names it.
     named = sets.join(common.small_or_shuffled(classes.where("size > 1").select("digest", "node"), classes.where("size > 1").count()), "digest", "left")
     named = named.where(F.col("node").isNull() | (F.col("node") == F.col("doc_id"))).select("doc_id", "sketch", "bands")
-    if confirm.repeats:
-        named = named.dropDuplicates(["doc_id"])
     sketches = named.select("doc_id", "sketch")
     members = common.stored(_bucket_members(named.select(F.explode("bands").alias("key"), "doc_id")), f"{path}/members")
 
@@ -288,10 +306,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     across = _across(members, linked, sketches, confirm, path)
     top = linked.withColumnRenamed("doc_id", "node")
-    edges = across.unionByName(repeated) if across is not None and repeated is not None else across if repeated is None else repeated
-    if edges is not None and not edges.isEmpty():
+    if across is not None and not across.isEmpty():
         of = lambda c: linked.select(F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}"))
-        between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        between = across.join(of("a"), "a", "left").join(of("b"), "b", "left")
         between = between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
         over = components(between, f"{path}/second").withColumnRenamed("root", "over")
         nodes = linked.select("doc_id", "root").join(over.select(F.col("doc_id").alias("root"), "over"), "root", "left").select("doc_id", F.coalesce("over", "root").alias("root"))
@@ -299,19 +316,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         top = common.stored(nodes.unionByName(rest), f"{path}/top").withColumnRenamed("doc_id", "node")
     # Most documents are alone: only classes of several sets or copies are joined by shuffles of narrow rows.
     labels = of_class.join(top, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component"))
-    labels = labels.where("component != doc_id").distinct() if repeated is None else labels.groupBy("doc_id").agg(F.min("component").alias("component")).where("component != doc_id")
-    labels = common.stored(labels, f"{path}/labels")
+    labels = common.stored(labels.where("component != doc_id"), f"{path}/labels")
     out = signed.select("doc_id", "n_shingles").join(common.small_or_shuffled(labels, labels.count()), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _row_links(of_class: DataFrame) -> DataFrame:
-    """Links between the sets of rows that repeat an id."""
-    nodes = of_class.groupBy("doc_id").agg(F.min("node").alias("b"))
-    return of_class.join(nodes, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-
-
 def _across(members: DataFrame, linked: DataFrame, sketches: DataFrame, confirm: _Confirm, path: str) -> DataFrame | None:
     """Links (a, b) between components that share a bucket, stored; None if no bucket holds two components.
 
@@ -380,6 +390,7 @@ def _compare_blocks(percent: int):
     import pyarrow as pa
 
     def run(batches):
+        common.claim("near_dedup")
         unit, held, block = None, [], None
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))

@@ -64,6 +64,9 @@ def test_repeated_and_missing_ids_and_no_rows(docs, words):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id) == [(2, 2, True), (3, 2, False), (3, 2, False), (9, 2, False), (9, 2, False)]
     assert [(r.component_id, r.kept) for r in out if r.doc_id is None] == [(None, True)]
     assert nd.near_dedup(docs([])).count() == 0
+    one, two = " ".join(words[100:150]), " ".join(words[200:250])
+    out = nd.near_dedup(docs([(5, one), (5, two), (7, one + " x"), (8, two + " y"), (9, "z")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
 
 
 def test_sketches_estimate_similarity():
