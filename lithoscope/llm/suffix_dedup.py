@@ -125,11 +125,28 @@ def runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     return piece, x0, n, p, ids[2 * MARGIN][p - MARGIN], kind
 
 
+#: States of a run: its class is to be compared; it is known to have other members and this run stands for them; this is one of those.
+OPEN, STANDS, SETTLED = 0, 1, 2
+
+
+def settle(bucket: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The state of each run of a task's slice: members of a class that is there twice need not travel to be compared."""
+    order = np.lexsort((kind, bucket))
+    b, k = bucket[order], kind[order]
+    same = (b[1:] == b[:-1]) & (k[1:] == k[:-1])
+    state = np.zeros(len(order), np.int8)
+    state[order[1:][same]] = SETTLED
+    stands = np.r_[same, False] & ~np.r_[False, same]
+    state[order[stands]] = STANDS
+    return state
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
-    """bucket, class, doc_id, first window, lead (bytes from it to the anchor) and number of windows of every run."""
+    """bucket, class, doc_id, first window, shape (lead to the anchor, number of windows) and state of every run."""
     import pyarrow as pa
 
     def run(batches):
+        common.claim("suffix_dedup")
         for batch in batches:
             for a, b in common.slices_by_bytes(batch.column(1), BLOCK):
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
@@ -138,11 +155,18 @@ def _anchors(docs: DataFrame) -> DataFrame:
                     piece, x0, n, p, bucket, kind = runs(joined, starts, lengths)
                     at = x0 - starts[piece] + offs[piece]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(ids[rows[piece]], pa.int64()), pa.array(at, pa.int64()), pa.array((p - x0) * 1024 + n, pa.int32())],
-                        names=["bucket", "class", "doc_id", "x", "shape"],
+                        [
+                            pa.array(bucket.view(np.int64)),
+                            pa.array(kind.view(np.int64)),
+                            pa.array(ids[rows[piece]], pa.int64()),
+                            pa.array(at, pa.int64()),
+                            pa.array((p - x0) * 1024 + n, pa.int32()),
+                            pa.array(settle(bucket, kind)),
+                        ],
+                        names=["bucket", "class", "doc_id", "x", "shape", "state"],
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket bigint, class bigint, doc_id bigint, x bigint, shape int")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket bigint, class bigint, doc_id bigint, x bigint, shape int, state tinyint")
 
 
 def _classes(anchors: DataFrame) -> DataFrame:
@@ -153,7 +177,7 @@ def _classes(anchors: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    names = ["bucket", "class", "doc_id", "x", "shape"]
+    names = ["bucket", "class", "doc_id", "x", "shape", "state"]
 
     def give(cols, repeated, asked):
         some = repeated | asked
@@ -162,11 +186,17 @@ def _classes(anchors: DataFrame) -> DataFrame:
         )
 
     def run(batches):
+        common.claim("suffix_dedup")
         before = None  # bucket and class of the row before those in hand
-        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32)]
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32, np.int8)]
         leader = None  # the open bucket's first run, while it is of the bucket's only class: its columns and whether repeated
         for cols in _and_end(batches, names):
             last = cols is None
+            if not last:
+                settled = cols[5] == SETTLED
+                if settled.any():
+                    yield give(cols, settled, np.zeros(len(settled), bool))
+                    cols = [x[~settled] for x in cols]
             rows = held if last else [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             if not len(rows[0]):
                 continue
@@ -177,7 +207,7 @@ def _classes(anchors: DataFrame) -> DataFrame:
             if not n:
                 held = rows
                 continue
-            repeated = ~new_c[:n] | np.r_[~new_c[1:], False][:n]
+            repeated = ~new_c[:n] | np.r_[~new_c[1:], False][:n] | (rows[5][:n] == STANDS)
             second = new_c[:n] & ~new_b[:n]  # a further class of its bucket
             asked = second.copy()
             heads = np.flatnonzero(new_b[:n])
@@ -199,7 +229,8 @@ def _classes(anchors: DataFrame) -> DataFrame:
             before = b[n - 1], c[n - 1]
             held = [x[n:] for x in rows]
 
-    placed = anchors.repartition("bucket").sortWithinPartitions("bucket", "class")
+    deal = F.when(F.col("state") == SETTLED, F.xxhash64("doc_id", "x")).otherwise(F.col("bucket"))
+    placed = anchors.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("bucket", "class")
     return placed.mapInArrow(run, "doc_id bigint, x bigint, shape int, repeated boolean, asked boolean")
 
 
@@ -214,6 +245,7 @@ def _windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
+        common.claim("suffix_dedup")
         for batch in batches:
             for a, b in common.slices_by_bytes(batch.column(1), BLOCK):
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
@@ -272,6 +304,7 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
     names = ["bucket", "deep", "doc_id", "x", "step"]
 
     def run(batches):
+        common.claim("suffix_dedup")
         before, held = None, [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32)]
         for cols in _and_end(batches, names):
             last = cols is None
@@ -308,6 +341,7 @@ def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     pair = pa.struct([("from", pa.int64()), ("to", pa.int64())])
 
     def run(batches):
+        common.claim("suffix_dedup")
         for batch in batches:
             out = []
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
@@ -362,7 +396,7 @@ def _suffix_dedup(docs: DataFrame, whole: DataFrame, rows: int, path: str) -> Da
     spans = common.stored(spans.join(few, "doc_id", "left_anti"), f"{path}/spans")
     cut = common.stored(_cut(docs, spans), f"{path}/cut")
 
-    out = whole.join(few.distinct(), "doc_id", "left").join(common.small_or_shuffled(cut, cut.count()), "doc_id", "left")
+    out = whole.join(few.distinct(), "doc_id", "left").join(cut, "doc_id", "left")  # its lists of spans have no bound to broadcast by
     gone = F.col("copy").isNotNull()
     full = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_bytes").alias("to")))
     none = F.array().cast("array<struct<from:bigint,to:bigint>>")
