@@ -6,7 +6,7 @@
    high similarities.
 2. Documents with equal sets are one node, named by the smallest id.
 3. Nodes are dealt by band key and sorted; within a bucket each is proposed with the bucket's smallest only,
-   never all pairs.  Each node keeps its best such partner by the sketches, and the full sets confirm it.
+   never all pairs.  Each node keeps the partner that it meets in most buckets; sketches and full sets confirm it.
    These links point to smaller ids, so following them gives components.
 4. Buckets that still hold several components are joined to groups, in which all nodes outside of the
    largest component are compared with all nodes of others, block against block inside the tasks; sketches
@@ -299,8 +299,10 @@ def _near_dedup(docs: DataFrame, signed: DataFrame, shingle: int, percent: int,
     sketches = named.select("doc_id", "sketch")
     members = common.stored(_bucket_members(named.select(F.explode("bands").alias("key"), "doc_id")), f"{path}/members")
 
-    stars = members.where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    best = _sifted(stars, sketches).groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    # Of the smallest members that a node meets, the one met in most buckets is likeliest similar; the rest is left to step 4.
+    stars = members.where("doc_id != least").groupBy(F.col("doc_id").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    best = stars.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("less"))).alias("best")).select("a", (-F.col("best.less")).alias("b"))
+    best = _sifted(best, sketches).select("a", "b")
     first = confirm.pairs(best, "first")
     linked = roots(first.select(F.col("a").alias("doc_id"), F.col("b").alias("parent")), f"{path}/first")
 
