@@ -77,7 +77,7 @@ def lex(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
                 literals.append((t.start() + 1, t.end() - 1))
             else:
                 other = _PLAIN_NAME.match(t[0])
-                if other and not re.search(r"[0-9]", other[1]):
+                if other:
                     names.append(other[1])
                 literals.append(t.span())
         out.append((m["name"], literals, names))

@@ -48,3 +48,10 @@ def test_constants_are_propagated():
     assert literals(chain + "secret = nxxxx") in (["hunter2-Xy9!kq"], [])
     loop = 'a = b\nb = a\nc = "hunter2-Xy9!kq"\na = c\nsecret = b'
     assert literals(loop) == ["hunter2-Xy9!kq"]
+
+
+def test_names_with_digits_are_propagated():
+    assert literals('part1 = "hunter2-Xy9!kq"\npassword = part1') == ["hunter2-Xy9!kq"]
+    chain = 'n0 = "hunter2-Xy9!kq"\n' + "".join(f"n{k} = n{k - 1}\n" for k in range(1, 5))
+    assert literals(chain + "secret = n4") == ["hunter2-Xy9!kq"]
+    assert literals('s3_value = "hunter2-Xy9!kq"\npage = s3_value') == []
