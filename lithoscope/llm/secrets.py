@@ -2,7 +2,7 @@
 
 The base kinds are three patterns, each matched leftmost and non-overlapping, of which too short ones drop
 out.  The lexer reads statements of source and configuration syntax (name = "x", name: x, "name": "x",
-name := x, name => x, --name=x, <name>x</name>, with concatenations of literals and names) into
+name := x, name => x, --name=x, -name=x, <name>x</name>, with concatenations of literals and names) into
 name-value pairs, propagates constants through assignments from one name to another, and scores each
 literal by the sensitivity of the names that it reaches and by its own shape.  It adds spans of kind
 ``literal``; the base spans stay.
@@ -44,6 +44,8 @@ LEAST_SCORE, LEAST_CHARS = 0.75, 8
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _VALUE = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z0-9_$][A-Za-z0-9+/_.=\-$]*"""
 STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_.\-])["'`]?(?P<name>{_NAME})["'`]?[\x20\t]*(?::=|=>|[:=](?!=))[\x20\t]*(?P<value>(?:{_VALUE})(?:[\x20\t]*\+[\x20\t]*(?:{_VALUE}))*)""", re.ASCII)
+# Read apart from statements, so that options inside values are met as well; a quoted value is only looked at.
+OPTION = re.compile(rf"""(?<![A-Za-z0-9_.\-])--?(?P<name>{_NAME})=(?=(?P<value>{_VALUE}))(?:["'`]|[A-Za-z0-9+/_.=\-$]+)""", re.ASCII)
 ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]{{1,4096}})</(?P=name)>", re.ASCII)
 TERM = re.compile(_VALUE, re.ASCII)
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -68,11 +70,14 @@ def literal_score(value: str) -> float:
 
 
 def lex(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
-    """(name, spans of literals, other names) of each assignment, in order."""
+    """(name, spans of literals, other names) of each assignment: statements, options, elements."""
     out = []
-    for m in STATEMENT.finditer(text):
+    found = [(m["name"], m.span("value")) for m in STATEMENT.finditer(text)]
+    if "-" in text:
+        found += [(m["name"], m.span("value")) for m in OPTION.finditer(text)]
+    for name, span in found:
         literals, names = [], []
-        for t in TERM.finditer(text, *m.span("value")):
+        for t in TERM.finditer(text, *span):
             if t[0][0] in "\"'`":
                 literals.append((t.start() + 1, t.end() - 1))
             else:
@@ -80,7 +85,7 @@ def lex(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
                 if other:
                     names.append(other[1])
                 literals.append(t.span())
-        out.append((m["name"], literals, names))
+        out.append((name, literals, names))
     out += [(m["name"], [m.span("value")], []) for m in ELEMENT.finditer(text)] if "</" in text else []
     return out
 

@@ -55,3 +55,12 @@ def test_names_with_digits_are_propagated():
     chain = 'n0 = "hunter2-Xy9!kq"\n' + "".join(f"n{k} = n{k - 1}\n" for k in range(1, 5))
     assert literals(chain + "secret = n4") == ["hunter2-Xy9!kq"]
     assert literals('s3_value = "hunter2-Xy9!kq"\npage = s3_value') == []
+
+
+def test_options_of_command_lines():
+    for line in ("run --access-key=q8Zp11xKw9aTz x", "--access-key=q8Zp11xKw9aTz", 'run --passphrase="q8Zp11xKw9aTz"', '["--pwd=q8Zp11xKw9aTz"]', 'cmd = "run --auth-key=q8Zp11xKw9aTz"', "run -pwd=q8Zp11xKw9aTz"):
+        assert literals(line) == ["q8Zp11xKw9aTz"], line
+    assert literals('run --args="--access-key=q8Zp11xKw9aTz"') == ["q8Zp11xKw9aTz"]
+    assert literals("run --env=SECRET_KEY=q8Zp11xKw9aTz") == ["q8Zp11xKw9aTz"]
+    assert literals('part1 = "q8Zp11xKw9aTz"\nrun --pwd=$part1') == ["q8Zp11xKw9aTz"]
+    assert literals("run --title=q8Zp11xKw9aTz ---pwd=q8Zp11xKw9aTz") == []
