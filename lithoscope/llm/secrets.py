@@ -46,7 +46,7 @@ _VALUE = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z0-9_$][A-Z
 STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_.\-])["'`]?(?P<name>{_NAME})["'`]?[\x20\t]*(?::=|=>|[:=](?!=))[\x20\t]*(?P<value>(?:{_VALUE})(?:[\x20\t]*\+[\x20\t]*(?:{_VALUE}))*)""", re.ASCII)
 # Read apart from statements, so that options inside values are met as well; a quoted value is only looked at.
 OPTION = re.compile(rf"""(?<![A-Za-z0-9_.\-])--?(?P<name>{_NAME})=(?=(?P<value>{_VALUE}))(?:["'`]|[A-Za-z0-9+/_.=\-$]+)""", re.ASCII)
-ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]{{1,4096}})</(?P=name)>", re.ASCII)
+ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]+)</(?P=name)>", re.ASCII)
 TERM = re.compile(_VALUE, re.ASCII)
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLAIN_NAME = re.compile(rf"\$?\{{?({_NAME})\}}?\Z", re.ASCII)

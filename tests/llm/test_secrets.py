@@ -64,3 +64,9 @@ def test_options_of_command_lines():
     assert literals("run --env=SECRET_KEY=q8Zp11xKw9aTz") == ["q8Zp11xKw9aTz"]
     assert literals('part1 = "q8Zp11xKw9aTz"\nrun --pwd=$part1') == ["q8Zp11xKw9aTz"]
     assert literals("run --title=q8Zp11xKw9aTz ---pwd=q8Zp11xKw9aTz") == []
+
+
+def test_long_element_values():
+    value = "Zx81+kQp0/Lm2w" * 1000
+    assert literals(f"<private_key>{value}</private_key>") == [value]
+    assert literals(f"<private_key>{value}") == [] and literals(f"<private_key>{value}\n</private_key>") == []
