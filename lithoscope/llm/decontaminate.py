@@ -10,7 +10,8 @@ occurrences located, and the spans merged per document.
 The benchmark is the stated query set: it is taken in blocks of at most BLOCK_BYTES, each broadcast alone.
 
 Defined results: null and empty texts have no words and are clean; items without words have no phrase;
-repeated rows and items repeat their results; an empty benchmark leaves every document clean.
+items with a null id mark words and count for contamination, but add no id; repeated rows and items
+repeat their results; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -41,13 +42,13 @@ RESULT = f"n_words bigint, spans array<{SPAN}>, items array<bigint>"
 class Phrases:
     """The distinct phrases of benchmark items over a numbered vocabulary."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, str]], window: int = WINDOW):
         found: dict[tuple, set[int]] = {}
         for item_id, text in items:
             codes = common.words_in_blocks(np.frombuffer((text or "").encode(), np.uint8), IS_WORD)[2].tolist()
             size = min(window, len(codes))
             for i in range(len(codes) - size + 1 if size else 0):
-                found.setdefault(tuple(codes[i : i + size]), set()).add(item_id)
+                found.setdefault(tuple(codes[i : i + size]), set()).update(() if item_id is None else (item_id,))
         self.items = [sorted(x) for x in found.values()]
         self.vocabulary = np.unique(np.array([c for p in found for c in p], np.uint64))
         self.lengths = np.array([len(p) for p in found], np.int64)
@@ -162,7 +163,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], names: list[str], tex
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str):
     """The items in blocks of at most BLOCK_BYTES of text (a longer item alone), read one after the other."""
-    rows = benchmark.select(benchmark[item_col].cast("long"), benchmark[text_col]).where(benchmark[item_col].isNotNull())
+    rows = benchmark.select(benchmark[item_col].cast("long"), benchmark[text_col])
     block, size = [], 0
     for item_id, text in rows.toLocalIterator():
         n = len((text or "").encode())
@@ -249,7 +250,7 @@ def brute_force(docs: list[tuple[int, str]], items: list[tuple[int, str]], windo
         w = split(text)
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            phrases.setdefault(tuple(w[i : i + n]), set()).add(item_id)
+            phrases.setdefault(tuple(w[i : i + n]), set()).update(() if item_id is None else (item_id,))
     out = {}
     for doc_id, text in docs:
         w, hit, seen = split(text), set(), set()

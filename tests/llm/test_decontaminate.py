@@ -57,3 +57,14 @@ def test_index_finds_every_occurrence():
         low, high = index.search(pattern[None, :].copy(), np.array([n]))
         got = sorted(index.locate(np.arange(low[0], high[0])).tolist())
         assert got == [i for i in range(len(text) - n + 1) if (text[i : i + n] == pattern).all()]
+
+
+@pytest.mark.parametrize("block", [8 << 20, 100])
+def test_items_without_an_id_mark_words(spark, docs, words, monkeypatch, block):
+    monkeypatch.setattr(dc, "BLOCK_BYTES", block)
+    first, second = " ".join(words[:20]), " ".join(words[30:50])
+    items = [(None, first), (1, second), (None, second), (None, None), (2, "short one")]
+    rows = [(1, f"x {first} y"), (2, f"x {second} y"), (3, "x y"), (4, f"{first} short one {second}")]
+    got = results(dc.find_phrases(docs(rows), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == dc.brute_force(rows, items)
+    assert {i: (n_hit, n_items, hit) for i, (_, n_hit, n_items, _, hit) in got.items()} == {1: (20, 0, True), 2: (20, 1, True), 3: (0, 0, False), 4: (42, 2, True)}
