@@ -16,8 +16,8 @@ by their place in the input; incomplete or overlong records have complete = fals
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,7 +157,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for file in batch.column(0):
                 data = file.as_py()
                 if data[:2] == b"\x1f\x8b":
-                    data = zlib.decompress(data, 31)
+                    data = gzip.decompress(data)  # of any number of members
                 out = []
                 for h, block in parse(data):
                     number, total = h.get("warc-segment-number"), h.get("warc-segment-total-length")

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -53,3 +54,13 @@ def test_segments_are_verified(spark):
     assert (whole.payload_bytes, whole.complete) == (1000, True)
     for broken in (rows[:-1], [rows[0], *rows[2:]]):
         assert not warc.reassemble(spark.createDataFrame(broken, schema)).first().complete
+
+
+def test_files_of_one_member_per_record(spark, tmp_path):
+    records = [next(warc.page_records(k, "u", b"p%d" % k, None)) + b"\r\n\r\n" for k in range(5)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "c.warc").write_bytes(b"".join(records))
+    for name in ("a.warc.gz", "b.warc.gz", "c.warc"):
+        got = warc.read_records(spark, f"file://{tmp_path}/{name}").collect()
+        assert [(r.origin, r.payload_digest, r.complete) for r in got] == [(f"{warc.URN}{k}", hashlib.sha256(b"p%d" % k).hexdigest(), True) for k in range(5)], name
