@@ -10,8 +10,9 @@ line and word shapes).  When a batch's negative part falls below zero, its gradi
 again, so the flexible model cannot drive the risk below zero by overfitting.  A last monotone step (one
 scale and shift of the output) is fitted on the labelled training rows.
 
-Fitting uses at most SAMPLE_ROWS labelled and SAMPLE_ROWS unlabelled rows, chosen by a hash of the
-identifier; scoring covers every row and whole texts.  Defined results: null and empty texts are scored as
+Fitting uses at most SAMPLE_ROWS labelled rows, chosen by a hash of the identifier, and every document that
+is not held out as unlabelled: their features are stored, tasks descend on shards of them, and the states of
+the shards are averaged ROUNDS times.  Scoring covers every row and whole texts.  Defined results: null and empty texts are scored as
 texts without characters; without any positive label every score is the prior of 0.5; rows with a null
 identifier are scored and never learnt from.
 """
@@ -29,8 +30,10 @@ from . import common
 
 
 
-#: Most labelled and most unlabelled rows that the model is fitted on.
+#: Most labelled rows that the model is fitted on.
 SAMPLE_ROWS = 20_000
+#: Unlabelled rows of a shard, and how often the shards' states are averaged.
+SHARD_ROWS, ROUNDS = 20_000, 12
 #: Rows whose crc32 of the identifier's text leaves HELD_OUT modulo FOLDS are never learnt from.
 FOLDS, HELD_OUT = 4, 2
 #: Least score that is predicted as good.
@@ -90,17 +93,17 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Model:
-    """Minimise the non-negative risk by Adam on mini-batches."""
+def _start(width: int, seed: int) -> tuple[list[np.ndarray], ...]:
+    """Fresh layers and Adam's two moments of them."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    mean, spread = both.mean(0), both.std(0)
-    spread[spread < 1e-6] = 1.0
-    layers = [rng.normal(0, both.shape[1] ** -0.5, (both.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(())]
-    model = Model(mean, spread, layers)
-    first, second, step = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers], 0
-    pos, unl = (np.clip((x - mean) / spread, -6, 6) for x in (positive, unlabelled))
-    for _ in range(EPOCHS):
+    layers = [rng.normal(0, width**-0.5, (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(())]
+    return layers, [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers]
+
+
+def _descend(state: tuple, step: float, pos: np.ndarray, unl: np.ndarray, prior: float, rng, epochs: int) -> tuple[tuple, float]:
+    """Minimise the non-negative risk by Adam on mini-batches of standardised rows, from a state; the state and step after."""
+    layers, first, second = (list(part) for part in state)
+    for _ in range(epochs):
         order = rng.permutation(len(unl))
         for at in range(0, len(unl), BATCH):
             p, u = pos[rng.integers(0, len(pos), BATCH)], unl[order[at : at + BATCH]]
@@ -121,8 +124,84 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 layers[k] = layers[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    model.layers = layers
-    return model
+    return (layers, first, second), step
+
+
+def _standardised(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / spread, -6, 6)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Model:
+    """Fit to rows in memory."""
+    both = np.concatenate([positive, unlabelled])
+    mean, spread = both.mean(0), both.std(0)
+    spread[spread < 1e-6] = 1.0
+    pos, unl = (_standardised(x, mean, spread) for x in (positive, unlabelled))
+    state, _ = _descend(_start(both.shape[1], seed), 0, pos, unl, prior, np.random.default_rng(seed), EPOCHS)
+    return Model(mean, spread, state[0])
+
+
+def _of_shards(stored: DataFrame, shards: int, make) -> list[tuple[int, np.ndarray]]:
+    """(rows, make(features, place of the shard)) of every shard: at most SHARD_ROWS stored rows of one task."""
+    import pyarrow as pa
+
+    most = SHARD_ROWS
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        common.claim("quality")
+        held, rows, number = [], 0, 0
+
+        def result():
+            x = np.frombuffer(b"".join(held), np.float32).reshape(rows, N_FEATURES).astype(float)
+            made = make(x, (TaskContext.get().partitionId(), number))
+            return pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([np.asarray(made, float).tobytes()], pa.binary())], names=["n", "made"])
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                held.append(x)
+                rows += 1
+                if rows == most:
+                    yield result()
+                    held, rows, number = [], 0, number + 1
+        if rows:
+            yield result()
+
+    return [(r[0], np.frombuffer(r[1])) for r in stored.coalesce(shards).mapInArrow(run, "n bigint, made binary").collect()]
+
+
+def fit_over(positive: np.ndarray, texts: DataFrame, prior: float, seed: int = SEED) -> Model:
+    """Fit to positives in memory and all of the texts: in each round every shard goes on from the shared state, and the states are averaged."""
+    spark = texts.sparkSession
+    stored = common.stored(_feature_rows(texts, []), f"{common.shared_dir(spark)}/features")
+    shards = max(1, -(-stored.count() // SHARD_ROWS))
+    parts = [(len(positive), positive.mean(0), positive.var(0))]
+    parts += [(n, *np.split(m, 2)) for n, m in _of_shards(stored, shards, lambda x, _: np.concatenate([x.mean(0), x.var(0)]))]
+    total = sum(n for n, _, _ in parts)
+    mean = sum(n * m for n, m, _ in parts) / total
+    spread = np.sqrt(sum(n * (v + (m - mean) ** 2) for n, m, v in parts) / total)
+    spread[spread < 1e-6] = 1.0
+    shared = spark.sparkContext.broadcast(positive.astype(np.float32))
+    state, step = _start(N_FEATURES, seed), 0.0
+    shapes = [p.shape for part in state for p in part]
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes])
+
+    def unpacked(flat):
+        made = [p.reshape(s) for p, s in zip(np.split(flat, cuts[:-1]), shapes, strict=True)]
+        return made[:4], made[4:8], made[8:]
+
+    for turn in range(ROUNDS):
+
+        def go_on(x, place, state=state, step=step, turn=turn):
+            pos, unl = (_standardised(rows, mean, spread) for rows in (shared.value.astype(float), x))
+            after, steps = _descend(state, step, pos, unl, prior, np.random.default_rng([seed, turn, *place]), EPOCHS // ROUNDS)
+            return np.concatenate([*(p.ravel() for part in after for p in part), [steps]])
+
+        made = _of_shards(stored, shards, go_on)
+        flat = sum(n * m for n, m in made) / sum(n for n, _ in made)
+        state, step = unpacked(flat[:-1]), float(flat[-1])
+    return Model(mean, spread, state[0])
 
 
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
@@ -153,8 +232,8 @@ def _chosen(ids: DataFrame, most: int) -> DataFrame:
     return ids.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), 1 << 20) < int(most / rows * (1 << 20)))
 
 
-def _features_of(docs: DataFrame, extra: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Collected features of a bounded number of rows, and the first extra column."""
+def _feature_rows(docs: DataFrame, extra: list[str]) -> DataFrame:
+    """Features of the texts as bytes (x), and the extra columns."""
     import pyarrow as pa
 
     def run(batches):
@@ -166,13 +245,18 @@ def _features_of(docs: DataFrame, extra: list[str]) -> tuple[np.ndarray, np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *(part.column(i + 1) for i in range(len(extra)))], names=["x", *extra])
 
     kinds = "".join(f", {e} {docs.schema[e].dataType.simpleString()}" for e in extra)
-    out = docs.select("text", *extra).mapInArrow(run, f"x binary{kinds}").collect()
+    return docs.select("text", *extra).mapInArrow(run, f"x binary{kinds}")
+
+
+def _features_of(docs: DataFrame, extra: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Collected features of a bounded number of rows, and the first extra column."""
+    out = _feature_rows(docs, extra).collect()
     x = np.stack([np.frombuffer(r[0], np.float32) for r in out]).astype(float) if out else np.zeros((0, N_FEATURES))
     return x, np.array([r[1] for r in out]) if extra else np.zeros(0)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
-    """Fit on a bounded sample; None without any positive label."""
+    """Fit on a bounded sample of labelled rows and all texts that are not held out; None without any positive label."""
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     marked = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")).where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("label").isNotNull())
     sample = _chosen(marked, SAMPLE_ROWS)  # bounded, so it may be broadcast
@@ -180,19 +264,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = (y == 1).astype(float)
     if not y.sum():
         return None
-    unlabelled, _ = _features_of(_chosen_texts(texts, SAMPLE_ROWS), [])
     prior = float(np.clip(y.mean(), 0.05, 0.98))
-    model = fit(x[y == 1], unlabelled, prior)
+    model = fit_over(x[y == 1], texts, prior)
     calibrate(model, x, y)
     return model
 
 
-def _chosen_texts(texts: DataFrame, most: int) -> DataFrame:
-    rows = texts.select("doc_id").count()
-    cut = int(min(1.0, most / max(1, rows)) * (1 << 20))
-    return texts.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), 1 << 20) < cut)
-
-
 def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_name: str = "score") -> DataFrame:
     """The columns id_col, keep and a score from 0 to 1 for every row of docs."""
     import pyarrow as pa

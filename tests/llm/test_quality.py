@@ -49,3 +49,22 @@ def test_risk_stays_bounded():
     good, bad = rng.normal(1, 1, (2000, 5)), rng.normal(-1, 1, (2000, 5))
     model = q.fit(good[:800], np.concatenate([good[800:1600], bad[:400]]), prior=2 / 3)
     assert (model.margin(good[1600:]) > 0).mean() > 0.93 and (model.margin(bad[400:]) < 0).mean() > 0.85
+
+
+def test_every_document_counts_as_unlabelled(spark, docs, words, monkeypatch):
+    """Statistics and risk are over all documents that are not held out, however few labelled rows are sampled."""
+    monkeypatch.setattr(q, "SAMPLE_ROWS", 150)
+    monkeypatch.setattr(q, "SHARD_ROWS", 100, raising=False)
+    rows, labels = corpus(words)
+    truth = {i: good for i, good, _ in labels}
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = q.train(docs(rows), marked)
+    kept = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    everything = np.stack([q.features(t) for i, t in rows if kept(i)]).astype(np.float32).astype(float)
+    sample = {r.doc_id for r in q._chosen(marked.where(~q.is_held_out(q.F.col("doc_id"))), 150).collect()}
+    positive = np.stack([q.features(t) for i, t in rows if i in sample and truth[i]]).astype(np.float32).astype(float)
+    both = np.concatenate([positive, everything])
+    assert np.allclose(model.mean, both.mean(0), atol=1e-9) and np.allclose(model.spread[both.std(0) > 1e-3], both.std(0)[both.std(0) > 1e-3], atol=1e-9)
+    held = [(i, t) for i, t in rows if not kept(i) and i in truth]
+    scores = model.score(np.stack([q.features(t) for _, t in held]))
+    assert np.mean([(s >= 0.7) == truth[i] for s, (i, _) in zip(scores, held, strict=True)]) > 0.95
