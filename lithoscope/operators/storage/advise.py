@@ -29,7 +29,7 @@ def advise(spark: SparkSession, path: str, scratch: str, exact: bool = False) ->
     chunks = footer.column_chunks(spark, path).cache()
     rolled = {r["top"]: r.asDict() for r in footer.column_rollup(chunks).collect()}
     groups = [r.asDict() for r in footer.row_groups(spark, path).collect()]
-    blooms = set().union(*(footer.bloom_columns(spark, f) for f in footer.files_of(spark, path)[:1]))
+    blooms = footer.bloom_columns_of_all(spark, sorted({g["file"] for g in groups}))
     out: list[rules.Suggestion] = []
     for where, t in targets(types):
         name = ".".join(where)

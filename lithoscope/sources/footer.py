@@ -237,6 +237,17 @@ def bloom_columns(spark: SparkSession, file: str) -> set[str]:
         reader.close()
 
 
+def bloom_columns_of_all(spark: SparkSession, files: list[str]) -> set[str]:
+    """Columns that have a Bloom filter in every one of the files; read on the driver, until no column is left."""
+    common: set[str] | None = None
+    for file in files:
+        own = bloom_columns(spark, file)
+        common = own if common is None else common & own
+        if not common:
+            break
+    return common or set()
+
+
 def file_info(spark: SparkSession, path: str) -> dict:
     """All that the footers say of a path, section by section; a section that fails is absent and its error kept under "errors"."""
     sections = {"files": file_meta, "kv": kv_meta, "row_groups": lambda s, p: with_share(row_groups(s, p)), "columns": lambda s, p: column_rollup(column_chunks(s, p)), "schema": schema_nodes}

@@ -193,3 +193,14 @@ def test_failing_sections_are_reported(spark, folder, monkeypatch):
     monkeypatch.setattr(footer, "kv_meta", lambda *a: 1 / 0)
     info = footer.file_info(spark, path)
     assert set(info["errors"]) == {"kv"} and info["files"][0]["num_rows"] == 1
+
+
+def test_bloom_advice_looks_at_every_file(spark, folder):
+    """A column of which one file lacks the filter is advised; one that all files with rows have is not."""
+    target = f"file://{folder}/blooms"
+    df = spark.range(20_000).selectExpr("id", "id * 7 as other").coalesce(1)
+    both = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.enabled#other": "true"}
+    df.write.options(**both).parquet(f"{target}/part=0")
+    df.write.options(**{"parquet.bloom.filter.enabled#id": "true"}).parquet(f"{target}/part=1")
+    df.limit(0).write.parquet(f"{target}/part=2")
+    assert {s.id for s in advise(spark, target, f"file://{folder}/scratch-blooms") if s.category == "bloom"} == {"bloom:other"}
