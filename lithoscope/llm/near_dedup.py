@@ -8,9 +8,9 @@
 3. Nodes are dealt by band key and sorted; within a bucket each is proposed with the bucket's smallest only,
    never all pairs.  Each node keeps the partner that it meets in most buckets; sketches and full sets confirm it.
    These links point to smaller ids, so following them gives components.
-4. Buckets that still hold several components are joined to groups, in which all nodes outside of the
-   largest component are compared with all nodes of others, block against block inside the tasks; sketches
-   sift and full sets confirm these too.  So every pair that shares a band and is similar enough ends in one
+4. Buckets that still hold several components are joined to groups; in each, or in each of its buckets where that is
+   less work, all nodes outside of the largest component are compared with all nodes of others, block against block
+   inside the tasks; sketches sift and full sets confirm these too, and a link joins its components at once.  So every pair that shares a band and is similar enough ends in one
    component, and no step gives out the pairs of a group.
 
 A pair at the similarity of 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS < 3e-6, and is sifted
@@ -38,6 +38,8 @@ SKETCH_BITS, MOST_BITS = 512, 136
 SEPARATORS = [(0x20, 0x20), (0x09, 0x0D)]
 #: Pairs with one node that are confirmed in one task, and shingles of a block of nodes that are compared at once.
 PAIRS_PER_TASK, BLOCK_SHINGLES = 512, 1 << 18
+#: A group is dealt to so many blocks even where it is smaller, if each has so many shingles.
+LEAST_BLOCKS, LEAST_SHINGLES = 16, 1 << 14
 
 IS_WORD = ~common.byte_class(SEPARATORS)
 _RNG = np.random.default_rng(1_234_577)
@@ -244,22 +246,29 @@ def roots(parents: DataFrame, path: str) -> DataFrame:
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
-    """doc_id and root (smallest id reachable) of every node of the undirected edges (a, b): minimum labels and pointer jumping."""
-    links = edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct()
-    links = common.stored(links, f"{path}/links")
-    current = common.stored(links.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("root")).select("doc_id", F.least("doc_id", "root").alias("root")), f"{path}/labels-0")
-    step = 0
-    while True:
+    """doc_id and root (smallest id reachable) of every node of the undirected edges (a, b), a != b.
+
+    Each round, every node joins its smallest neighbour if that is smaller; edges are then contracted to the roots
+    of the trees, and those within a tree go.  So a round reads only the edges that the rounds before left open.
+    """
+    ordered = lambda d: d.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    links, labels, step = common.stored(ordered(edges), f"{path}/links-0"), None, 0
+    while labels is None or not links.isEmpty():
         step += 1
-        near = links.join(current.select(F.col("doc_id").alias("b"), "root"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("root").alias("near"))
-        lower = current.join(near, "doc_id").select("doc_id", "root", F.least("root", "near").alias("lower"))
-        jump = current.select(F.col("doc_id").alias("lower"), F.col("root").alias("above"))
-        following = lower.join(jump, "lower", "left").select("doc_id", F.least("lower", F.coalesce("above", "lower")).alias("root"), F.col("root").alias("was"))
-        following = common.stored(following, f"{path}/labels-{step}")
-        moved = not following.where("root != was").isEmpty()
-        current = following.select("doc_id", "root")
-        if not moved:
-            return current
+        least = links.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("parent"))
+        tree = roots(least, f"{path}/trees-{step}")
+        if labels is None:
+            labels = tree
+        else:
+            above = tree.select(F.col("doc_id").alias("root"), F.col("root").alias("above"))
+            risen = labels.join(above, "root", "left").select("doc_id", F.coalesce("above", "root").alias("root"))
+            labels = common.stored(risen.unionByName(tree.join(labels, "doc_id", "left_anti")), f"{path}/labels-{step}")
+        of = lambda c: tree.select(F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
+        open_links = links.join(of("a"), "a").select("b", F.col("root_a").alias("a")).where("a != b")
+        open_links = open_links.join(of("b"), "b", "left").select("a", F.coalesce("root_b", "b").alias("b"))
+        links = common.stored(ordered(open_links), f"{path}/links-{step}")
+    tops = labels.select("root").distinct()
+    return labels.unionByName(tops.select(F.col("root").alias("doc_id"), "root"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -327,34 +336,45 @@ def _near_dedup(docs: DataFrame, signed: DataFrame, shingle: int, percent: int,
 def _across(members: DataFrame, linked: DataFrame, sketches: DataFrame, confirm: _Confirm, path: str) -> DataFrame | None:
     """Links (a, b) between components that share a bucket, stored; None if no bucket holds two components.
 
-    Buckets that still hold several components are joined to groups, and within a group every node outside of
-    the largest component is compared with every node of another one.  The comparison runs inside tasks, block
-    against block, each block bounded by the shingles in it; what comes out is one link per node and component
-    at most, not pairs.
+    Buckets that still hold several components are joined to groups.  A group is compared as a whole, so that nodes
+    which share many buckets meet once, or, if that makes fewer comparisons, bucket by bucket.  Every node outside of
+    the largest component there is compared with every node of another one, inside tasks, block against block,
+    each block bounded by the shingles in it; what comes out are the links that joined components in a task, not pairs.
     """
     rows = members.select("key", "doc_id").join(linked, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc_id").alias("least")).where("low != high")
-    rows = common.stored(rows.join(mixed.select("key", "least"), "key").select("doc_id", "root", "least").distinct(), f"{path}/mixed")
+    rows = common.stored(rows.join(mixed.select("key", "least"), "key").select("key", "doc_id", "root", "least"), f"{path}/mixed")
     if rows.isEmpty():
         return None
     homes = components(rows.select(F.col("doc_id").alias("a"), F.col("least").alias("b")), f"{path}/homes").withColumnRenamed("root", "home")
-    nodes = common.stored(rows.select("doc_id", "root").distinct().join(homes, "doc_id"), f"{path}/nodes")
-    sets = common.stored(confirm.sets(nodes.select("doc_id")), f"{path}/across-sets")
-    full = common.stored(nodes.join(sketches, "doc_id").join(sets, "doc_id"), f"{path}/full")
-    size = F.octet_length("codes") / 8
-    parts = full.groupBy("home", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("shingles"))
-    groups = parts.groupBy("home").agg(F.max(F.struct("n", "root", "shingles")).alias("most"), F.sum("shingles").alias("all"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES)).cast("int")
-    groups = groups.select("home", F.col("most.root").alias("largest"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("most.shingles")).alias("minor_blocks"))
-    groups = common.stored(groups, f"{path}/groups")
-    placed = full.join(common.small_or_shuffled(groups, groups.count()), "home")
-    columns = ["home", "m", "b", "role", "doc_id", "root", "sketch", "codes"]
+    sets = common.stored(confirm.sets(rows.select("doc_id").distinct()), f"{path}/across-sets")
+    about = homes.join(sets.select("doc_id", (F.octet_length("codes") / 8).alias("size")), "doc_id")
+    rows = common.stored(rows.join(about, "doc_id").select("home", F.col("key").alias("bucket"), "doc_id", "root", "size"), f"{path}/placed")
+    together = rows.withColumn("bucket", F.lit(0).cast("long")).distinct()
+
+    def units(rows: DataFrame) -> DataFrame:
+        parts = rows.groupBy("home", "bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+        found = parts.groupBy("home", "bucket").agg(F.max(F.struct("n", "root", "shingles")).alias("most"), F.sum("shingles").alias("all"))
+        return found.select("home", "bucket", F.col("most.root").alias("largest"), "all", (F.col("all") - F.col("most.shingles")).alias("minor"))
+
+    whole, single = units(together), units(rows).where("minor > 0")
+    apart = single.groupBy("home").agg(F.sum(F.col("all") * F.col("minor")).alias("work"))
+    apart = whole.where(F.col("all") > BLOCK_SHINGLES).join(apart, "home").where("work < all * minor").select("home")
+    apart = common.stored(apart, f"{path}/apart")
+    apart = common.small_or_shuffled(apart, apart.count())
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK_SHINGLES), F.least(F.lit(LEAST_BLOCKS), F.ceil(F.col(c) / LEAST_SHINGLES)), F.lit(1)).cast("int")
+    groups = whole.join(apart, "home", "left_anti").unionByName(single.join(apart, "home", "left_semi"))
+    groups = common.stored(groups.select("home", "bucket", "largest", blocks("all").alias("blocks"), blocks("minor").alias("minor_blocks")), f"{path}/groups")
+    nodes = together.join(apart, "home", "left_anti").unionByName(rows.join(apart, "home", "left_semi"))
+    placed = nodes.join(common.small_or_shuffled(groups, groups.count()), ["home", "bucket"]).drop("size")
+    placed = placed.join(sketches, "doc_id").join(sets, "doc_id")
+    columns = ["home", "bucket", "m", "b", "role", "doc_id", "root", "sketch", "codes"]
     own = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
     minors = placed.where("root != largest").withColumn("m", own("minor_blocks", 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     others = placed.withColumn("b", own("blocks", 2)).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)))
     both = minors.withColumn("role", F.lit(0)).select(*columns).unionByName(others.withColumn("role", F.lit(1)).select(*columns))
-    units = both.repartition("home", "m", "b").sortWithinPartitions("home", "m", "b", "role")
-    found = units.mapInArrow(_compare_blocks(confirm.percent), "a bigint, b bigint")
+    units_of = both.repartition("home", "bucket", "m", "b").sortWithinPartitions("home", "bucket", "m", "b", "role")
+    found = units_of.mapInArrow(_compare_blocks(confirm.percent), "a bigint, b bigint")
     return common.stored(found, f"{path}/across")
 
 
@@ -370,11 +390,13 @@ class _Block:
         flat = np.frombuffer(b"".join(codes), np.uint64)
         order = np.argsort(flat, kind="stable")
         self.codes, self.owners = flat[order], np.repeat(np.arange(len(codes)), self.sizes)[order]
-        self.linked: set[tuple[int, int]] = set()
+        self.joined: dict[int, int] = {}
 
     def links(self, doc_id: int, root: int, sketch: np.ndarray, codes: np.ndarray):
-        """(held node, doc_id) for each held node of another component that is similar enough, once per component."""
-        near = (np.bitwise_count(self.sketches ^ sketch).sum(1, dtype=np.int64) <= MOST_BITS) & (self.roots != root)
+        """(held node, doc_id) for similar nodes of two components, which are one from then on."""
+        while root in self.joined:
+            root = self.joined[root]
+        near = (self.roots != root) & (np.bitwise_count(self.sketches ^ sketch).sum(1, dtype=np.int64) <= MOST_BITS)
         if not near.any():
             return
         low, high = np.searchsorted(self.codes, codes), np.searchsorted(self.codes, codes, side="right")
@@ -382,8 +404,10 @@ class _Block:
         at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         both = np.bincount(self.owners[at], minlength=len(self.ids))
         for k in np.flatnonzero(near & (100 * both >= self.percent * (self.sizes + len(codes) - both))).tolist():
-            if (k, root) not in self.linked:
-                self.linked.add((k, root))
+            other = int(self.roots[k])
+            if other != root:
+                self.joined[other] = root
+                self.roots[self.roots == other] = root
                 yield self.ids[k], doc_id
 
 
@@ -395,13 +419,13 @@ def _compare_blocks(percent: int):
         common.claim("near_dedup")
         unit, held, block = None, [], None
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            ids, roots = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            sketches, out = batch.column(6), []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            ids, roots = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            sketches, out = batch.column(7), []
             for i, (*key, role) in enumerate(keys):
                 if key != unit:
                     unit, held, block = key, [], None
-                sketch, codes = sketches[i].values.to_numpy(), batch.column(7)[i].as_py()
+                sketch, codes = sketches[i].values.to_numpy(), batch.column(8)[i].as_py()
                 if role == 0:
                     held.append((ids[i], roots[i], sketch, codes))
                 elif held:

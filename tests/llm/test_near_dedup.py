@@ -90,3 +90,39 @@ def test_components_of_a_long_path(spark, tmp_path):
     assert {got[i] for i in range(201)} == {0} and got[1001] == 1000
     parents = spark.createDataFrame([(i + 1, i) for i in range(100)], "doc_id long, parent long")
     assert {r.root for r in nd.roots(parents, f"file://{tmp_path}/r").collect()} == {0}
+
+
+def test_components_of_random_graphs(spark, tmp_path):
+    rng = random.Random(4)
+    edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(450)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = nd.components(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}/g").collect()
+    assert {r.doc_id: r.root for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
+
+
+def test_groups_are_compared_by_bucket_where_that_is_less_and_only_joining_links_come_out(docs, words, monkeypatch, tmp_path):
+    rng = random.Random(8)
+    group = [rng.choice(words) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(words) if rng.random() < 0.05 else w for w in group)) for k in range(120)]
+    want = brute(rows, 4)
+    links = {}
+    for least, block in ((1, 1 << 18), (1, 300), (16, 1 << 18)):
+        monkeypatch.setattr(nd, "LEAST_BLOCKS", least)
+        monkeypatch.setattr(nd, "BLOCK_SHINGLES", block)
+        across = nd._across
+        monkeypatch.setattr(nd, "_across", lambda *a, key=(least, block), f=across: links.setdefault(key, f(*a)))
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_dedup(docs(rows), shingle=4).collect()}
+        monkeypatch.setattr(nd, "_across", across)
+        assert got == want
+    whole = links[(1, 1 << 18)]
+    assert whole is None or whole.count() < len(rows)
