@@ -1,10 +1,13 @@
 """Exact deduplication over a log-structured merge index of content digests, in DataFrame operations only.
 
-Batches of documents are digested; each memtable is flushed as a run of (digest, id) rows sorted by
-digest, with a Parquet Bloom filter on the digest.  Compaction merges all runs into one level that keeps,
-for each digest, the row that stays and the number of rows.  Documents that hit an occupied digest are
-verified byte for byte against the row that stays; texts that differ although their digests agree are
-grouped again by the texts themselves.
+1. Documents are digested where they lie; every MEMTABLE_ROWS rows of a task fill the next of MEMTABLES memtables.
+2. A memtable is flushed as a run: one row per digest, sorted, with the row that stays so far and the number of
+   rows.  Each run has a Bloom filter, a table of blocks of 64 bits; all filters of an index have as many blocks,
+   so the filter of merged runs is the union of theirs.
+3. Compaction merges FANOUT runs of a level to one of the next, until one run is left.  A digest that no filter of
+   the other runs knows passes through as it is; only hits are shuffled, and keep the better row and both counts.
+4. Documents whose digest more than one row has are verified byte for byte against the row that stays; texts that
+   differ although their digests agree are grouped again by the texts themselves.
 
 Defined results: a null text counts as empty; a null id sorts after all others; rows that repeat an id
 and a text each count in group_size and share one decision; an empty table gives an empty result; other
@@ -13,6 +16,8 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +27,10 @@ from . import common
 SPACES = " \t\n\x0b\x0c\r"
 #: Members of a group of copies that are verified in one task against one copy of the text that stays.
 VERIFY_ROWS = 2048
+#: Rows of a task after which the next memtable is filled, memtables of a table, and runs that are merged to one.
+MEMTABLE_ROWS, MEMTABLES, FANOUT = 4096, 8, 4
+#: Digests for each block of 64 bits of a filter; a digest sets four bits.
+KEYS_PER_BLOCK = 4
 
 
 def normalised(text: Column) -> Column:
@@ -31,38 +40,64 @@ def normalised(text: Column) -> Column:
     return out
 
 
+def _order(n_chars: Column, doc_id: Column) -> Column:
+    """What sorts first stays: most characters, then the smallest id, missing ids last."""
+    return F.struct((-n_chars).alias("less"), doc_id.isNull().alias("unnamed"), doc_id.alias("doc_id"))
+
+
 class DigestIndex:
-    """Runs of sorted digests in shared storage, and the level that compaction makes of them."""
+    """Entries of documents, runs of sorted digests with their filters, and the levels that compaction makes of them."""
 
     def __init__(self, spark: SparkSession, path: str, digest_bytes: int = 32):
-        self.spark, self.path, self.digest_bytes, self.runs = spark, path, digest_bytes, 0
-
-    def flush(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Write the digests of a batch as one more run; every task flushes its memtable sorted."""
-        sha = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-        rows = batch.select(
-            F.col(id_col).alias("doc_id"), sha.alias("sha"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars")
-        ).withColumn("digest", F.substring("sha", 1, self.digest_bytes))
-        (
-            rows.sortWithinPartitions("digest", "doc_id")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", "50000")
-            .mode("overwrite")
-            .parquet(f"{self.path}/runs/run={self.runs}")
-        )
-        self.runs += 1
-
-    def entries(self) -> DataFrame:
-        """All rows of all runs."""
-        return self.spark.read.parquet(f"{self.path}/runs").select("doc_id", "sha", "n_chars", "digest")
+        self.spark, self.path, self.digest_bytes, self.blocks = spark, path, digest_bytes, 0
+
+    def load(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = MEMTABLE_ROWS) -> None:
+        """Digest all documents and flush their memtables as the runs of level 0."""
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        place = F.monotonically_increasing_id()  # of a task's rows, the low 33 bits count them
+        memtable = F.pmod(F.shiftright(place, 33) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / memtable_rows), F.lit(MEMTABLES))
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(text), 256)).alias("sha"), F.char_length(text).cast("long").alias("n_chars"), memtable.cast("int").alias("run"))
+        self.entries = common.stored(rows.withColumn("digest", F.substring("sha", 1, self.digest_bytes)), f"{self.path}/entries")
+        self.rows = self.entries.count()
+        self.blocks = 1 << max(8, (self.rows // KEYS_PER_BLOCK).bit_length())
+        runs = self.entries.groupBy("run", "digest").agg(F.min(_order(F.col("n_chars"), F.col("doc_id"))).alias("first"), F.count(F.lit(1)).alias("group_size"))
+        self.level, self.runs = self._written(runs, 0), MEMTABLES
+        self.filters = self._filters(self.level.select("run", *self._bits()), 0)
+
+    def _bits(self) -> list[Column]:
+        """Of a digest: its block, and the bits that are set there."""
+        h = F.xxhash64("digest")
+        bits = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(digest), {at}) & 63 as int))") for at in (40, 46, 52, 58)]
+        return [h.bitwiseAND(F.lit(self.blocks - 1)).alias("block"), functools.reduce(Column.bitwiseOR, bits).alias("mask")]
+
+    def _written(self, runs: DataFrame, level: int) -> DataFrame:
+        return common.stored(runs.select("run", "digest", "first", "group_size").sortWithinPartitions("run", "digest"), f"{self.path}/level-{level}")
+
+    def _filters(self, masks: DataFrame, level: int) -> DataFrame:
+        return common.stored(masks.groupBy("run", "block").agg(F.bit_or("mask").alias("mask")), f"{self.path}/filters-{level}")
+
+    def probed(self) -> DataFrame:
+        """The level's rows with the run of the next level that they go to, and hit: whether a filter of another run that goes there knows them."""
+        into, part = F.floor(F.col("run") / FANOUT).cast("int"), F.pmod(F.col("run"), F.lit(FANOUT))
+        per_run = [F.bit_or(F.when(part == i, F.col("mask"))).alias(f"f{i}") for i in range(FANOUT)]
+        filters = self.filters.groupBy(into.alias("into"), "block").agg(*per_run)
+        filters = common.small_or_shuffled(filters, self.filters.count())
+        rows = self.level.select(into.alias("into"), part.alias("part"), "digest", "first", "group_size", *self._bits()).join(filters, ["into", "block"], "left")
+        others = [(F.col("part") != i) & (F.coalesce(F.col(f"f{i}"), F.lit(0).cast("long")).bitwiseAND(F.col("mask")) == F.col("mask")) for i in range(FANOUT)]
+        return rows.select(F.col("into").alias("run"), "digest", "first", "group_size", functools.reduce(Column.__or__, others).alias("hit"))
 
     def compact(self) -> DataFrame:
-        """Merge the runs: one sorted row per digest with the row that stays (most characters, then smallest id) and the rows it stands for."""
-        order = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"))
-        level = self.entries().groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
-        level = level.select("digest", F.col("first.doc_id").alias("keep_id"), "group_size").sortWithinPartitions("digest")
-        level.write.option("parquet.bloom.filter.enabled#digest", "true").mode("overwrite").parquet(f"{self.path}/level1")
-        return self.spark.read.parquet(f"{self.path}/level1")
+        """Merge runs level by level: digest, keep_id and group_size, one row per digest."""
+        level = 0
+        while self.runs > 1:
+            level += 1
+            probed = self.probed()
+            merged = probed.where("hit").groupBy("run", "digest").agg(F.min("first").alias("first"), F.sum("group_size").alias("group_size"))
+            passed = probed.where(~F.col("hit")).drop("hit")
+            self.level, self.runs = self._written(passed.unionByName(merged), level), -(-self.runs // FANOUT)
+            if self.runs > 1:
+                self.filters = self._filters(self.filters.select(F.floor(F.col("run") / FANOUT).cast("int").alias("run"), "block", "mask"), level)
+        return self.level.select("digest", F.col("first.doc_id").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
@@ -72,10 +107,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     index = DigestIndex(spark, common.shared_dir(spark), digest_bytes)
-    index.flush(docs, id_col, text_col)
-    level = index.compact()
-    total = index.entries().count()
-    decided = common.join_hot(index.entries(), level, ["digest"], "group_size", total)
+    index.load(docs, id_col, text_col)
+    groups = common.stored(index.compact().where("group_size > 1"), f"{index.path}/groups")
+    # Hot groups are broadcast, others as well if they are few; documents that are alone need no partner.
+    hot = F.col("group_size") >= F.lit(max(common.HOT_ROWS, -(-index.rows // common.HOT_PARTS)))
+    often = F.broadcast(groups.where(hot))
+    seldom = common.small_or_shuffled(groups.where(~hot), groups.count())
+    entries = index.entries.select("doc_id", "sha", "digest")
+    rest = entries.join(often.select("digest"), "digest", "left_anti").join(seldom, "digest", "left")
+    alone = F.col("group_size").isNull()
+    rest = rest.select("digest", "doc_id", "sha", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
+    decided = entries.join(often, "digest").select(*rest.columns).unionByName(rest)
     members = common.stored(decided.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct(), f"{index.path}/members")
     collided = _collisions(docs, members, id_col, text_col, digest_bytes, index.path)
     if collided is not None:
@@ -106,7 +148,6 @@ def _collisions(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     if wrong.isEmpty():
         return None
     again = texts.join(wrong, "digest", "left_semi").withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))))
-    order = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"))
-    groups = again.groupBy("digest", "norm").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
+    groups = again.groupBy("digest", "norm").agg(F.min(_order(F.col("n_chars"), F.col("doc_id"))).alias("first"), F.count(F.lit(1)).alias("size"))
     right = again.select("doc_id", "digest", "norm").join(groups, ["digest", "norm"])
     return wrong, right.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"))

@@ -35,9 +35,35 @@ def test_hot_group_and_empty_table(docs):
     assert exact_dedup(docs([])).count() == 0
 
 
-def test_runs_merge(spark, docs, tmp_path):
-    """Compaction over several flushed runs equals one over all rows."""
-    index = DigestIndex(spark, f"file://{tmp_path}/index")
-    index.flush(docs([(5, "a"), (2, "b")]))
-    index.flush(docs([(1, "a"), (3, "b ")]))
-    assert sorted((r.keep_id, r.group_size) for r in index.compact().collect()) == [(1, 2), (3, 2)]
+def loaded(spark, rows, path, memtable_rows=5):
+    index = DigestIndex(spark, f"file://{path}/index")
+    index.load(rows, memtable_rows=memtable_rows)
+    return index
+
+
+def test_runs_merge_by_levels(spark, docs, tmp_path):
+    """Compaction over several runs keeps one row for each digest, with the row that stays and all its rows."""
+    rows = [(i, f"text {i % 60}" + " " * (i % 7)) for i in range(400)] + [(1000 + i, f"own {i}") for i in range(50)]
+    index = loaded(spark, docs(rows), tmp_path)
+    assert index.level.select("run").distinct().count() == 8 and index.level.where("group_size > 1").count()
+    got = {(r.keep_id, r.group_size) for r in index.compact().collect()}
+    want = {(keep, size) for _, keep, size, _, _ in brute(rows)}
+    assert got == want and index.level.select("run").distinct().count() == 1
+
+
+def test_filters_are_consulted(spark, docs, tmp_path):
+    """Only digests that another run's filter knows are merged: with emptied filters copies in two runs stay apart."""
+    rows = [(i, f"text {i % 50}") for i in range(300)] + [(1000 + i, f"own {i}") for i in range(2000)]
+    index = loaded(spark, docs(rows), tmp_path / "a", memtable_rows=50)
+    hits = index.probed().where("hit")
+    own = index.probed().where("hit").join(index.entries.where("n_chars = 8 and doc_id >= 1000").select("digest"), "digest", "left_semi")
+    assert hits.count() and own.count() < 50
+    assert index.compact().count() == 2050
+    index = loaded(spark, docs(rows), tmp_path / "b", memtable_rows=50)
+    index.filters = index.filters.selectExpr("run", "block", "0L as mask")
+    assert index.compact().count() > 2050
+
+
+def test_no_python_on_the_main_path(docs):
+    plan = exact_dedup(docs([(1, "a"), (2, "a")]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
