@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .buckets import least_in_reach, refine
+from .passages import shared_passages
 
 #: Bytes of the strings that are compared, of the first buckets, and on each side of an anchor within a window.
 LENGTH, Q, MARGIN = 400, 25, 100
@@ -40,20 +42,9 @@ LENGTH, Q, MARGIN = 400, 25, 100
 REACH = LENGTH - 2 * MARGIN - Q + 1
 #: Bytes of text that are refined together; a longer text is taken in blocks that overlap.
 BLOCK = 1 << 19
-_PLACE = np.uint64((1 << 24) - 1)
 _K = np.array([0xD6E8FEB86659FD93, 0xA5CB3B1F2E0F9A6D, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def refine(ids: np.ndarray, depth: int, times: int) -> np.ndarray:
-    """Bucket identifiers at ``times`` x depth from those at depth: a later offset's are combined with each suffix's own."""
-    n = max(0, len(ids) - depth * (times - 1))
-    out = ids[:n].copy()
-    for k in range(1, times):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += ids[k * depth : k * depth + n]
-    return common.mix(out)
-
-
 def buckets(data: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Bucket identifiers of every suffix at the depths asked for, by repeated refinement."""
     ids = refine(refine(common.BYTE_CODES[data], 1, 5), 5, 5)
@@ -66,20 +57,6 @@ def buckets(data: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarray]:
         ids, depth = refine(ids, depth, 2), 2 * depth
 
 
-def least_in_reach(q_ids: np.ndarray) -> np.ndarray:
-    """For each place, where the least of the next REACH identifiers is (the leftmost of equals)."""
-    n = len(q_ids)
-    blocks = -(-n // REACH)
-    keyed = np.full(blocks * REACH, np.iinfo(np.uint64).max, np.uint64)
-    keyed[:n] = q_ids & ~_PLACE
-    keyed[:n] |= np.arange(n, dtype=np.uint64)
-    grid = keyed.reshape(blocks, REACH)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    m = n - REACH + 1
-    return (np.minimum(behind[:m], ahead[REACH - 1 : REACH - 1 + m]) & _PLACE).astype(np.int64)
-
-
 def pieces(data: np.ndarray, offsets: np.ndarray):
     """(row, offset in its text, from, to) of texts of at least LENGTH bytes; long ones in overlapping blocks."""
     for row in np.flatnonzero(np.diff(offsets) >= LENGTH).tolist():
@@ -110,7 +87,7 @@ def _joined(data: np.ndarray, held: list[tuple]):
 def runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     """Of joined pieces: each run's piece, first window, number of windows, anchor, bucket and class."""
     ids = buckets(data, (Q, 2 * MARGIN, LENGTH))
-    anchor = least_in_reach(ids[Q])
+    anchor = least_in_reach(ids[Q], REACH)
     count = lengths - LENGTH + 1
     piece = np.repeat(np.arange(len(starts)), count)
     x = np.arange(len(piece)) + np.repeat(starts - (np.cumsum(count) - count), count)
@@ -362,7 +339,11 @@ def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (UTF-8 bytes removed) for every row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (UTF-8 bytes removed) for every row of docs.
+
+    n_passages and n_passage_words count the passages of more than fifty words that another row holds too, whether
+    they are long enough to be removed or not (see ``passages``).
+    """
     spark = docs.sparkSession
     path = common.shared_dir(spark)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -395,8 +376,12 @@ def _suffix_dedup(docs: DataFrame, whole: DataFrame, rows: int, path: str) -> Da
     few = common.small_or_shuffled(copies, copies.count())
     spans = common.stored(spans.join(few, "doc_id", "left_anti"), f"{path}/spans")
     cut = common.stored(_cut(docs, spans), f"{path}/cut")
+    for name in ("classes", "spans"):
+        common.remove(docs.sparkSession, f"{path}/{name}")
+    passages = shared_passages(docs, path)
 
     out = whole.join(few.distinct(), "doc_id", "left").join(cut, "doc_id", "left")  # its lists of spans have no bound to broadcast by
+    out = out.join(passages, "doc_id", "left")
     gone = F.col("copy").isNotNull()
     full = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_bytes").alias("to")))
     none = F.array().cast("array<struct<from:bigint,to:bigint>>")
@@ -407,6 +392,8 @@ def _suffix_dedup(docs: DataFrame, whole: DataFrame, rows: int, path: str) -> Da
         F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(gone, full).otherwise(F.coalesce("spans", none)).alias("spans"),
+        F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"),
+        F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"),
     )
 
 
