@@ -2,22 +2,23 @@
 
 Writing: each page is a response record whose block is an HTTP message in chunked transfer framing; of
 equal payloads all but the first are revisit records without payload.  A block longer than SEGMENT_BYTES is
-cut into a first segment and continuation records, the last of which states the total length.  Records go
-through Spark's text writer, whose line end is the two line breaks that close a record, so every file is a
-(gzip-compressed) WARC file and task retries are covered.
+cut into a first segment and continuation records, the last of which states the total length.  Every record is
+a gzip member of its own.  Members go through Spark's text writer, so task retries are covered: its line end is
+the two zero bytes that end a member of less than 64 KiB (the upper half of its length).
 
 Reading: files are parsed record by record; segments are grouped by the identifier of their origin, ordered
 by number, checked to be complete and of the stated total length, joined, and their chunks decoded.
 Revisits take the payload's length from the record that they refer to.
 
 Defined results: a null page counts as empty; pages that repeat an identifier or have none are told apart
-by their place in the input; incomplete or overlong records have complete = false and no payload.
+by their place in the input; incomplete, overlong or foreign records have complete = false and no payload, and
+reading goes on at the next record, as it does after a member that cannot be inflated.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ SEGMENT_BYTES, CHUNK_BYTES = 32_768, 8_192
 REVISIT_BYTES = 100
 #: Records of a file; as blocks are bounded, so are files.
 RECORDS_PER_FILE = 1_000
+#: Bytes of a gzip member, whose length then ends in two zero bytes; how a member begins.
+MEMBER_BYTES, MEMBER_END, GZIP = 65_535, b"\0\0", b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 URN = "urn:lithoscope:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,28 +96,78 @@ def page_records(key: int, url: str | None, payload: bytes, refers_to: int | Non
         )
 
 
+def members(data: bytes) -> list[bytes]:
+    """A record as gzip members, one unless it has 64 KiB or more."""
+    out = []
+    for at in range(0, len(data), MEMBER_BYTES):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(packer.compress(data[at : at + MEMBER_BYTES]) + packer.flush())
+    return out
+
+
+def inflated(data: bytes) -> list[bytes]:
+    """What the members of a gzip file hold, in parts: of one that is damaged what came before, and then what follows it."""
+    view, at, parts, held = memoryview(data), 0, [], []
+    while at < len(data):
+        unpacker = zlib.decompressobj(31)
+        begin = at
+        try:
+            while at < len(data) and not unpacker.eof:
+                held.append(unpacker.decompress(view[at : at + MEMBER_BYTES]))
+                at = min(at + MEMBER_BYTES, len(data)) - len(unpacker.unused_data)
+        except zlib.error:
+            at = data.find(GZIP, begin + 1)
+            while at >= 0 and not _begins_member(data[at : at + 256]):
+                at = data.find(GZIP, at + 1)
+            at = at if at >= 0 else len(data)
+        if not unpacker.eof:
+            parts, held = [*parts, b"".join(held)], []
+        while at < len(data) and not data[at]:  # zeros may fill up a file
+            at += 1
+    return [*parts, b"".join(held)] if held else parts
+
+
+def _begins_member(data: bytes) -> bool:
+    try:
+        zlib.decompressobj(31).decompress(data)
+    except zlib.error:
+        return False
+    return True
+
+
 def parse(data: bytes):
-    """(headers with lower-case names, block) of each record of a file."""
+    """(headers with lower-case names, block, whole) of each record of a file; the block of a broken one is empty.
+
+    After bytes that are no record, or a record that does not end where its length says, the next version line
+    after line breaks begins a record; what is passed over without headers counts as one broken record.
+    """
     at, n = 0, len(data)
     while at < n:
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].split(b"\r\n")
-        if not first.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        headers = {}
-        for line in lines:
-            k, _, v = line.partition(b":")
-            headers[k.strip().lower().decode()] = v.strip().decode()
-        at = end + 4
-        size = int(headers["content-length"])
-        if at + size > n:
-            raise ValueError("a record is cut short")
-        yield headers, data[at : at + size]
-        at += size
+        end = data.find(b"\r\n\r\n", at)
+        headers, size = {}, -1
+        if data.startswith(b"WARC/", at) and end >= 0:
+            for line in data[at:end].split(b"\r\n")[1:]:
+                k, _, v = line.partition(b":")
+                headers[k.strip().lower().decode(errors="replace")] = v.strip().decode(errors="replace")
+            size = _whole_number(headers.get("content-length"))
+        stop = end + 4 + size
+        if size >= 0 and stop <= n and data[stop : stop + 4] in (b"\r\n\r\n", b"\r\n", b""):
+            yield headers, data[end + 4 : stop], True
+            at = stop
+        else:
+            yield headers, b"", False
+            at = data.find(b"\r\n\r\nWARC/", at + 1)
+            if at < 0:
+                return
         while data[at : at + 2] == b"\r\n":
             at += 2
 
 
+def _whole_number(text: str | None) -> int:
+    """The number that digits state, -1 without one."""
+    return int(text) if text and text.isascii() and text.isdigit() else -1
+
+
 def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write rows of key, url, html and refers_to (a key or null) as WARC files."""
     import pyarrow as pa
@@ -125,11 +178,12 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, record
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 rows = zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([r for k, u, h, f in rows for r in page_records(k, u, (h or "").encode(), f, segment)], pa.binary())], names=["record"])
+                packed = [m.removesuffix(MEMBER_END) for k, u, h, f in rows for r in page_records(k, u, (h or "").encode(), f, segment) for m in members(r + b"\r\n\r\n")]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["member"])
 
-    records = pages.select("key", "url", "html", "refers_to").mapInArrow(run, "record binary")
-    lines = records.select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    packed = pages.select("key", "url", "html", "refers_to").mapInArrow(run, "member binary")
+    lines = packed.select(F.col("member").cast("string").alias("value"))
+    lines.write.option("lineSep", MEMBER_END.decode()).option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 RECORD = "origin string, record_type string, segment int, total bigint, refers_to string, stated_digest string, payload_bytes bigint, payload_digest string, complete boolean"
@@ -144,6 +198,20 @@ def _taken(block: bytes | None) -> tuple:
     return len(payload), hashlib.sha256(payload).hexdigest(), True
 
 
+def _row(h: dict[str, str], block: bytes, whole: bool) -> tuple:
+    """The row of a record: segments keep their block, others are decoded."""
+    kind, number, total = h.get("warc-type"), _whole_number(h.get("warc-segment-number")), _whole_number(h.get("warc-segment-total-length"))
+    origin = h.get("warc-segment-origin-id", h.get("warc-record-id", "")).strip("<>") or None
+    own = (origin, kind, number if number >= 0 else None, total if total >= 0 else None, h.get("warc-refers-to", "").strip("<>") or None, h.get("warc-payload-digest", "").removeprefix("sha256:") or None)
+    if not whole or origin is None or kind is None:
+        return (origin, kind, None, *own[3:], None, None, False, None)
+    if number >= 0:
+        return (*own, None, None, None, block)
+    if kind == "response":
+        return (*own, *_taken(block), None)
+    return (*own, *((len(block), hashlib.sha256(block).hexdigest(), True) if kind in ("resource", "conversion") else (None, None, True)), None)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the files under path; block holds the bytes of segments only, others are decoded at once."""
     import pyarrow as pa
@@ -156,16 +224,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file in batch.column(0):
                 data = file.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)  # of any number of members
-                out = []
-                for h, block in parse(data):
-                    number, total = h.get("warc-segment-number"), h.get("warc-segment-total-length")
-                    origin = h.get("warc-segment-origin-id", h["warc-record-id"]).strip("<>")
-                    refers = h.get("warc-refers-to", "").strip("<>") or None
-                    stated = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                    own = (origin, h["warc-type"], int(number) if number else None, int(total) if total else None, refers, stated)
-                    out.append((*own, None, None, None, block) if number else (*own, *(_taken(block) if h["warc-type"] == "response" else (None, None, True)), None))
+                out = [_row(*found) for part in (inflated(data) if data.startswith(GZIP) else [data]) for found in parse(part)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
