@@ -11,14 +11,17 @@ again, so the flexible model cannot drive the risk below zero by overfitting.  A
 scale and shift of the output) is fitted on the labelled training rows.
 
 Fitting uses at most SAMPLE_ROWS labelled rows, chosen by a hash of the identifier, and every document that
-is not held out as unlabelled: their features are stored, tasks descend on shards of them, and the states of
-the shards are averaged ROUNDS times.  Scoring covers every row and whole texts.  Defined results: null and empty texts are scored as
+is not held out as unlabelled: their features are stored in shards by a hash of identifier and features, tasks
+descend on shards, and the states of the shards are averaged ROUNDS times.  All sums are taken in the order of
+the shards, so the model depends on the rows alone and not on their layout.  Scoring covers every row and whole
+texts.  Defined results: null and empty texts are scored as
 texts without characters; without any positive label every score is the prior of 0.5; rows with a null
 identifier are scored and never learnt from.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -28,12 +31,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-
-
 #: Most labelled rows that the model is fitted on.
 SAMPLE_ROWS = 20_000
-#: Unlabelled rows of a shard, and how often the shards' states are averaged.
-SHARD_ROWS, ROUNDS = 20_000, 12
+#: Unlabelled rows of a shard, how often the shards' states are averaged, and most sums that the driver adds up.
+SHARD_ROWS, ROUNDS, GATHERED = 20_000, 12, 256
 #: Rows whose crc32 of the identifier's text leaves HELD_OUT modulo FOLDS are never learnt from.
 FOLDS, HELD_OUT = 4, 2
 #: Least score that is predicted as good.
@@ -141,46 +142,87 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Model(mean, spread, state[0])
 
 
-def _of_shards(stored: DataFrame, shards: int, make) -> list[tuple[int, np.ndarray]]:
-    """(rows, make(features, place of the shard)) of every shard: at most SHARD_ROWS stored rows of one task."""
+def _packed(rows: DataFrame, shards: int) -> DataFrame:
+    """shard, piece, n and x: the feature rows (key, x) of each shard in the order of their keys, at most SHARD_ROWS in a piece."""
     import pyarrow as pa
 
     most = SHARD_ROWS
 
     def run(batches):
-        from pyspark import TaskContext
-
         common.claim("quality")
-        held, rows, number = [], 0, 0
+        shard, piece, held = None, 0, []
 
-        def result():
-            x = np.frombuffer(b"".join(held), np.float32).reshape(rows, N_FEATURES).astype(float)
-            made = make(x, (TaskContext.get().partitionId(), number))
-            return pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([np.asarray(made, float).tobytes()], pa.binary())], names=["n", "made"])
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([piece], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["shard", "piece", "n", "x"])
 
         for batch in batches:
-            for x in batch.column(0).to_pylist():
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (s != shard or len(held) == most):
+                    yield packed()
+                    piece, held = (piece + 1 if s == shard else 0), []
+                shard = s
                 held.append(x)
-                rows += 1
-                if rows == most:
-                    yield result()
-                    held, rows, number = [], 0, number + 1
-        if rows:
-            yield result()
+        if held:
+            yield packed()
 
-    return [(r[0], np.frombuffer(r[1])) for r in stored.coalesce(shards).mapInArrow(run, "n bigint, made binary").collect()]
+    placed = rows.select(F.pmod("key", F.lit(shards)).cast("long").alias("shard"), "key", "x")
+    placed = placed.repartition("shard").sortWithinPartitions("shard", "key", "x").select("shard", "x")
+    return placed.mapInArrow(run, "shard bigint, piece bigint, n bigint, x binary")
+
+
+def _mean_over(packed: DataFrame, pieces: int, make) -> np.ndarray:
+    """The mean over all rows of make(features of a piece, (shard, piece)), in one order of addition whatever the layout.
+
+    No more than GATHERED sums come to the driver.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        common.claim("quality")
+        for batch in batches:
+            for shard, piece, n, x in zip(*(batch.column(i) for i in range(4)), strict=True):
+                rows = np.frombuffer(x.as_buffer(), np.float32).reshape(n.as_py(), N_FEATURES).astype(float)
+                made = n.as_py() * np.asarray(make(rows, (shard.as_py(), piece.as_py())), float)
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([piece.as_py()]), pa.array([n.as_py()]), pa.array([made.tobytes()], pa.binary())], names=["shard", "piece", "n", "made"])
+
+    def add(batches):
+        common.claim("quality")
+        group, n, total = None, 0, 0.0
+        for batch in batches:
+            for g, k, made in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if g.as_py() != group:
+                    if group is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([0], pa.int64()), pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["shard", "piece", "n", "made"])
+                    group, n, total = g.as_py(), 0, 0.0
+                n, total = n + k.as_py(), total + np.frombuffer(made.as_buffer())
+        if group is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([0], pa.int64()), pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["shard", "piece", "n", "made"])
+
+    sums = packed.mapInArrow(run, _SUMS)
+    if pieces > GATHERED:
+        sums = sums.withColumn("group", F.pmod("shard", F.lit(GATHERED))).repartition("group").sortWithinPartitions("group", "shard", "piece").select("group", "n", "made").mapInArrow(add, _SUMS)
+    found = sorted(sums.collect(), key=lambda r: (r.shard, r.piece))
+    return sum(np.frombuffer(r.made) for r in found) / sum(r.n for r in found)
+
+
+_SUMS = "shard bigint, piece bigint, n bigint, made binary"
 
 
 def fit_over(positive: np.ndarray, texts: DataFrame, prior: float, seed: int = SEED) -> Model:
-    """Fit to positives in memory and all of the texts: in each round every shard goes on from the shared state, and the states are averaged."""
+    """Fit to positives in memory and all of the texts: in each round every shard goes on from the shared state, and the states are averaged.
+
+    A row's shard follows from its identifier and features, so the same rows give the same model in any layout.
+    """
     spark = texts.sparkSession
-    stored = common.stored(_feature_rows(texts, []), f"{common.shared_dir(spark)}/features")
-    shards = max(1, -(-stored.count() // SHARD_ROWS))
-    parts = [(len(positive), positive.mean(0), positive.var(0))]
-    parts += [(n, *np.split(m, 2)) for n, m in _of_shards(stored, shards, lambda x, _: np.concatenate([x.mean(0), x.var(0)]))]
-    total = sum(n for n, _, _ in parts)
-    mean = sum(n * m for n, m, _ in parts) / total
-    spread = np.sqrt(sum(n * (v + (m - mean) ** 2) for n, m, v in parts) / total)
+    path = common.shared_dir(spark)
+    rows = common.stored(_feature_rows(texts, []), f"{path}/features")
+    total = rows.count()
+    packed = common.stored(_packed(rows, max(1, -(-total // SHARD_ROWS))), f"{path}/shards")
+    pieces = packed.count()
+    n = len(positive)
+    share = n / (n + total)
+    mean = share * positive.mean(0) + (1 - share) * _mean_over(packed, pieces, lambda x, _: x.mean(0))
+    spread = np.sqrt(share * ((positive - mean) ** 2).mean(0) + (1 - share) * _mean_over(packed, pieces, lambda x, _: ((x - mean) ** 2).mean(0)))
     spread[spread < 1e-6] = 1.0
     shared = spark.sparkContext.broadcast(positive.astype(np.float32))
     state, step = _start(N_FEATURES, seed), 0.0
@@ -198,9 +240,10 @@ def fit_over(positive: np.ndarray, texts: DataFrame, prior: float, seed: int = S
             after, steps = _descend(state, step, pos, unl, prior, np.random.default_rng([seed, turn, *place]), EPOCHS // ROUNDS)
             return np.concatenate([*(p.ravel() for part in after for p in part), [steps]])
 
-        made = _of_shards(stored, shards, go_on)
-        flat = sum(n * m for n, m in made) / sum(n for n, _ in made)
+        flat = _mean_over(packed, pieces, go_on)
         state, step = unpacked(flat[:-1]), float(flat[-1])
+    shared.destroy()
+    common.remove(spark, path)
     return Model(mean, spread, state[0])
 
 
@@ -224,16 +267,13 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _chosen(ids: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` of the rows, by a hash of doc_id, so the same ones on every run."""
-    rows = ids.count()
-    if rows <= most:
-        return ids
-    return ids.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), 1 << 20) < int(most / rows * (1 << 20)))
+def _chosen(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """At most ``most`` of the rows: the first ones in the order of a hash of columns, then of the columns."""
+    return rows.orderBy(F.xxhash64(*by, F.lit(SEED)), *by).limit(most)
 
 
 def _feature_rows(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """Features of the texts as bytes (x), and the extra columns."""
+    """Features of the texts as bytes (x), a key that follows from doc_id and them, and the extra columns."""
     import pyarrow as pa
 
     def run(batches):
@@ -242,26 +282,24 @@ def _feature_rows(docs: DataFrame, extra: list[str]) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 made = [features(t).astype(np.float32).tobytes() for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *(part.column(i + 1) for i in range(len(extra)))], names=["x", *extra])
+                keys = [int.from_bytes(hashlib.blake2b(str(i).encode() + x, digest_size=8).digest(), "little", signed=True) for i, x in zip(part.column(1).to_pylist(), made, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary()), *(part.column(i + 2) for i in range(len(extra)))], names=["key", "x", *extra])
 
     kinds = "".join(f", {e} {docs.schema[e].dataType.simpleString()}" for e in extra)
-    return docs.select("text", *extra).mapInArrow(run, f"x binary{kinds}")
-
-
-def _features_of(docs: DataFrame, extra: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Collected features of a bounded number of rows, and the first extra column."""
-    out = _feature_rows(docs, extra).collect()
-    x = np.stack([np.frombuffer(r[0], np.float32) for r in out]).astype(float) if out else np.zeros((0, N_FEATURES))
-    return x, np.array([r[1] for r in out]) if extra else np.zeros(0)
+    return docs.select("text", "doc_id", *extra).mapInArrow(run, f"key bigint, x binary{kinds}")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """Fit on a bounded sample of labelled rows and all texts that are not held out; None without any positive label."""
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     marked = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")).where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("label").isNotNull())
-    sample = _chosen(marked, SAMPLE_ROWS)  # bounded, so it may be broadcast
-    x, y = _features_of(texts.join(F.broadcast(sample), "doc_id"), ["label"])
-    y = (y == 1).astype(float)
+    sample = _chosen(marked.distinct(), SAMPLE_ROWS, "doc_id", "label")  # bounded, so it may be broadcast
+    labelled = _feature_rows(texts.join(F.broadcast(sample), "doc_id"), ["label"])
+    found = _chosen(labelled, SAMPLE_ROWS, "key", "x", "label").collect()  # an identifier may repeat without bound
+    if not found:
+        return None
+    x = np.stack([np.frombuffer(r.x, np.float32) for r in found]).astype(float)
+    y = np.array([float(r.label == 1) for r in found])
     if not y.sum():
         return None
     prior = float(np.clip(y.mean(), 0.05, 0.98))
