@@ -1,11 +1,9 @@
 """Secret scan: fixed patterns, and assignment-aware lexing that scores literals by the names they reach.
 
 The base kinds are three patterns, each matched leftmost and non-overlapping, of which too short ones drop
-out.  The lexer reads statements of source and configuration syntax (name = "x", name: x, "name": "x",
-name := x, name => x, --name=x, -name=x, <name>x</name>, with concatenations of literals and names) into
-name-value pairs, propagates constants through assignments from one name to another, and scores each
-literal by the sensitivity of the names that it reaches and by its own shape.  It adds spans of kind
-``literal``; the base spans stay.
+out.  The lexer (``lexing``) reads source and configuration syntax into name-literal pairs and propagates constants
+through names; a literal is scored by its own shape and by the most sensitive name that it reaches.  It adds spans
+of kind ``literal``; the base spans stay.  A literal of several strings that are joined has a span for each.
 
 Spans are (kind, start, end) in code points, end exclusive: the whole match for base kinds, the literal's
 inside for the lexer's.  Defined results: null and empty texts have no spans; repeated rows repeat theirs.
@@ -21,6 +19,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 
 from . import common
+from .lexing import VALUE_NAMES, Pair, options_of, pairs_of, propagated
 
 # The base kinds, their patterns and the fewest characters that count.
 KINDS = ("assign", "access", "hex", "literal")
@@ -41,20 +40,15 @@ PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "non
 #: Least score of a literal that is reported, and least characters of one.
 LEAST_SCORE, LEAST_CHARS = 0.75, 8
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-_VALUE = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z0-9_$][A-Za-z0-9+/_.=\-$]*"""
-STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_.\-])["'`]?(?P<name>{_NAME})["'`]?[\x20\t]*(?::=|=>|[:=](?!=))[\x20\t]*(?P<value>(?:{_VALUE})(?:[\x20\t]*\+[\x20\t]*(?:{_VALUE}))*)""", re.ASCII)
-# Read apart from statements, so that options inside values are met as well; a quoted value is only looked at.
-OPTION = re.compile(rf"""(?<![A-Za-z0-9_.\-])--?(?P<name>{_NAME})=(?=(?P<value>{_VALUE}))(?:["'`]|[A-Za-z0-9+/_.=\-$]+)""", re.ASCII)
-ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]+)</(?P=name)>", re.ASCII)
-TERM = re.compile(_VALUE, re.ASCII)
+#: No name is sensitive without one of these.
+HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "salt", "signature")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_PLAIN_NAME = re.compile(rf"\$?\{{?({_NAME})\}}?\Z", re.ASCII)
 
 
 def name_score(name: str) -> float:
     """How sensitive a name is, by its parts and pairs of parts."""
     parts = [p.lower() for p in _CAMEL.findall(name)]
+    parts = [p[:-1] if p[:-1] in SENSITIVE else p for p in parts]  # plurals
     score = max([0.0, *(SENSITIVE.get(p, 0.0) for p in parts), *(SENSITIVE.get(a + b, 0.0) for a, b in zip(parts, parts[1:], strict=False))])
     return score * 0.3 if parts and parts[-1] in HARMLESS else score
 
@@ -69,54 +63,29 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.25 + 0.1 * min(bits, 4.5) + 0.1 * classes + (0.1 if len(value) >= 20 else 0.0))
 
 
-def lex(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
-    """(name, spans of literals, other names) of each assignment: statements, options, elements."""
-    out = []
-    found = [(m["name"], m.span("value")) for m in STATEMENT.finditer(text)]
-    if "-" in text:
-        found += [(m["name"], m.span("value")) for m in OPTION.finditer(text)]
-    for name, span in found:
-        literals, names = [], []
-        for t in TERM.finditer(text, *span):
-            if t[0][0] in "\"'`":
-                literals.append((t.start() + 1, t.end() - 1))
-            else:
-                other = _PLAIN_NAME.match(t[0])
-                if other:
-                    names.append(other[1])
-                literals.append(t.span())
-        out.append((name, literals, names))
-    out += [(m["name"], [m.span("value")], []) for m in ELEMENT.finditer(text)] if "</" in text else []
-    return out
+def pair_score(p: Pair) -> float:
+    """The sensitivity of a pair's names: of those around it only if its own says no more than that it is a value."""
+    if p.name.rpartition(".")[2].lower() in VALUE_NAMES:
+        return max([name_score(p.name), *map(name_score, p.around)])
+    return name_score(p.name)
 
 
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose own shape and most sensitive reached name score together at least LEAST_SCORE."""
-    if "=" not in text and ":" not in text and "</" not in text:
+    low = text.lower()
+    if not any(h in low for h in HINTS):
         return []
-    pairs = lex(text)
-    reach: dict[str, float] = {}
-    for name, _, _ in pairs:
-        reach[name] = name_score(name)
-    assigned = {name for name, _, _ in pairs}
-    sources: dict[str, list[str]] = {}
-    for name, _, names in pairs:
-        sources.setdefault(name, []).extend(other for other in names if other in assigned)
-    settled: set[str] = set()
-    for target in sorted(reach, key=reach.get, reverse=True):  # a constant is as sensitive as the most sensitive name that it reaches
-        waiting = [target]
-        while waiting:
-            name = waiting.pop()
-            if name not in settled:
-                settled.add(name)
-                reach[name] = max(reach[name], reach[target])
-                waiting += sources.get(name, ())
+    pairs = sorted(pairs_of(text) + options_of(text), key=lambda p: p.place)
+    assigned = {p.name for p in pairs if not p.spaced}
     found = set()
-    for name, literals, _ in pairs:
-        if reach[name] >= 0.5:
-            for a, b in literals:
-                if text[a:b] not in assigned and math.sqrt(reach[name] * literal_score(text[a:b])) >= LEAST_SCORE:
-                    found.add((a, b))
+    for p, reach in zip(pairs, propagated(pairs, pair_score), strict=True):
+        if reach >= 0.5:
+            for spans in p.literals:
+                value = "".join(text[a:b] for a, b in spans)
+                if p.spaced and not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+                    continue  # a word of prose
+                if value not in assigned and math.sqrt(reach * literal_score(value)) >= LEAST_SCORE:
+                    found.update(spans)
     return sorted(found)
 
 

@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import string
+import time
 
 from lithoscope.llm import secrets as sc
 
@@ -70,3 +73,99 @@ def test_long_element_values():
     value = "Zx81+kQp0/Lm2w" * 1000
     assert literals(f"<private_key>{value}</private_key>") == [value]
     assert literals(f"<private_key>{value}") == [] and literals(f"<private_key>{value}\n</private_key>") == []
+
+
+VALUE = "q8Zp-11xKw_a"
+
+
+def test_nested_and_block_values():
+    for text in (
+        f"password: |\n  {VALUE}\n  Zz9-second-Line1\nother: x",
+        f'"password": ["{VALUE}", "Zz9-second-Line1"]',
+        f"passwords:\n  - {VALUE}\n  - 'Zz9-second-Line1'\nhost: a",
+        f'password = """{VALUE}\nZz9-second-Line1"""',
+        f"tokens = ['{VALUE}',\n  'Zz9-second-Line1',\n]",
+    ):
+        assert literals(text) == [VALUE, "Zz9-second-Line1"], text
+
+
+def test_forms_of_one_literal():
+    for text in (
+        f"password {VALUE}", f"machine a.b login me password {VALUE}", f"run --password {VALUE}", f'password = b"{VALUE}"', f"password = r'{VALUE}'",
+        f'password: str = "{VALUE}"', f'char password[] = "{VALUE}";', f'var password string = "{VALUE}"', f'String password = "{VALUE}";', f'config["password"] = "{VALUE}"',
+        f"'password' => '{VALUE}',", f"define('DB_PASSWORD', '{VALUE}');", f'setProperty("db.password", "{VALUE}")', f'- name: DB_PASSWORD\n  value: {VALUE}\n', f'{{"name": "db_password", "value": "{VALUE}"}}',
+        f'<add key="password" value="{VALUE}"/>', f"<password><value>{VALUE}</value></password>", f"credentials:\n  value: {VALUE}\n", f"[secret]\nvalue = {VALUE}\n", f'{{"token": {{"data": "{VALUE}"}}}}',
+        f'# password = "{VALUE}"', f"// password: {VALUE}", f"/* password={VALUE} */", f"<!-- <password>{VALUE}</password> -->", f'password = decode("{VALUE}")',
+        f'password = os.getenv("DB_PASSWORD", "{VALUE}")', f'def connect(password="{VALUE}"):\n  pass', f"note: password = {VALUE}", f"url = 'x'; password = '{VALUE}' # mine", f"export PASSWORD={VALUE}",
+    ):
+        assert literals(text) == [VALUE], text
+
+
+def test_joined_strings_are_one_literal():
+    assert literals('password = "q8Zp" + "-11x" + "Kw_a"') == ["q8Zp", "-11x", "Kw_a"]
+    assert literals('password = ("q8Zp"\n  "-11xKw_a")') == ["q8Zp", "-11xKw_a"]
+    assert literals('password = "q8" + "Zp"') == []
+
+
+def test_order_scope_and_comments_in_propagation():
+    assert literals(f'a = "First-Value-77z"\na = "{VALUE}"\npassword = a') == [VALUE]
+    assert literals(f'a = "{VALUE}"\npassword = a\na = "Later-Value-77z"') == [VALUE]
+    assert literals(f'password = a\na = "{VALUE}"') == [VALUE]
+    assert literals(f'def f():\n    a = "Inner-Value-77z"\n\ndef g():\n    password = a\n\na = "{VALUE}"\n') == [VALUE]
+    assert literals(f'function f() {{ var a = "Inner-Value-77z"; }}\nvar a = "{VALUE}";\nfunction g() {{ password = a; }}') == [VALUE]
+    assert literals(f'# a = "Old-Value-77z"\na = "{VALUE}"\npassword = a') == [VALUE]
+    assert literals(f'a = "{VALUE}"\n# password = a') == []
+    assert literals('a = "Some-Value-77z"\npassword_length = a') == []
+
+
+def test_prose_and_harmless_values_are_left_alone():
+    for text in (
+        "password recovery\ntoken economics\nThe key: a longer explanation of authorship", "secret: changeme", "key = value", "password = input('Password: ')", "password = os.environ['DB_PASSWORD']",
+        "password: ${DB_PASSWORD}", "tokens: 128", "author: Charlotte9", "primary_key: identifier", 'token_url = "https://a.b/Q9xx77/tok"', "password", "'" * 50 + "password", "password = " + "(" * 2000,
+    ):
+        assert literals(text) == [], text
+
+
+def planted(n=1500, seed=21):
+    """Texts with one planted literal under a sensitive name, and as many with one under a harmless name."""
+    rng = random.Random(seed)
+    letters = string.ascii_letters + string.digits
+    forms = [
+        '{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "{n}={v}", "--{n}={v}", "<{n}>{v}</{n}>", "{n} := `{v}`", "'{n}' => '{v}',", "{n}: |\n  {v}\n", '"{n}": [\n  "{v}"\n]',
+        '{n} = """{v}"""', "{n}:\n  - {v}\n", 'c["{n}"] = "{v}"', "- name: {n}\n  value: {v}", '// {n} = "{v}"', 'tmp = "{v}"\n{n} = tmp', 'f("{n}", "{v}")', "{n} {v}",
+    ]
+    secret = ["password", "db_passwd", "apiKey", "API_TOKEN", "clientSecret", "private_key", "auth-key", "aws.secret.access_key", "passphrase", "signingKey"]
+    plain = ["title", "user_name", "colour", "build-id", "image.digest", "etag", "sessionName", "password_hint", "token_count", "monkey"]
+    out = []
+    for k in range(2 * n):
+        value = "".join(rng.choice(letters) for _ in range(rng.randint(12, 40))) + "7x"
+        form, name = rng.choice(forms), rng.choice(secret if k < n else plain)
+        before = "".join(f"line{j} = {rng.randint(0, 9)}\n" for j in range(rng.randint(0, 4)))
+        out.append((before + form.format(n=name, v=value) + "\nend = 1\n", value, k < n))
+    return out
+
+
+def test_recall_and_precision_on_planted_literals():
+    right = wrong = missed = 0
+    for text, value, is_secret in planted():
+        found = literals(text)
+        right += is_secret and value in found
+        missed += is_secret and value not in found
+        wrong += sum(f != value for f in found) if is_secret else len(found)
+    recall, precision = right / (right + missed), right / (right + wrong)
+    print(f"recall {recall:.4f} precision {precision:.4f}")
+    assert recall >= 0.98 and precision >= 0.98
+
+
+def test_long_texts_take_time_in_proportion():
+    took = []
+    for n in (20_000, 80_000):
+        text = "".join(f'a{k % 50} = "value{k}"\n/* x */ password = a{k % 50} "don\'t {{ (\n' for k in range(n // 20))
+        began = time.perf_counter()
+        sc.literal_spans(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+    for text in ("/*" * 50_000 + " password", "(" * 100_000 + "key", '"""' * 30_000 + "key=1", "password: " * 20_000, "<a><a>" * 20_000 + "key", "key = " + "'a' + " * 30_000):
+        began = time.perf_counter()
+        sc.literal_spans(text)
+        assert time.perf_counter() - began < 5, text[:20]
