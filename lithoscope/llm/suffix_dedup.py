@@ -218,7 +218,7 @@ def _and_end(batches, names):
 
 
 def _windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """bucket, deep (at depth LENGTH), part, doc_id, x (of its run) and window, for every window of the runs asked for."""
+    """bucket, deep (at depth LENGTH), doc_id, x (of its run) and step, for every window of the runs asked for."""
     import pyarrow as pa
 
     def run(batches):
@@ -252,17 +252,16 @@ def _windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
                         [
                             pa.array(bucket[run_of].view(np.int64)),
                             pa.array(deep[LENGTH][x0[run_of] + step].view(np.int64)),
-                            pa.array((lead[run_of] - step) // 16, pa.int32()),
                             pa.array(ids[rows[piece[run_of]]], pa.int64()),
                             pa.array(xs[mine][run_of], pa.int64()),
                             pa.array(step, pa.int32()),
                         ],
-                        names=["bucket", "deep", "part", "doc_id", "x", "step"],
+                        names=["bucket", "deep", "doc_id", "x", "step"],
                     )
 
     lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("x", "shape")).alias("asked"))
     found = docs.join(_ids(asked), "doc_id", "left_semi").join(lists, "doc_id").select("doc_id", "text", "asked")
-    return found.mapInArrow(run, "bucket bigint, deep bigint, part int, doc_id bigint, x bigint, step int")
+    return found.mapInArrow(run, "bucket bigint, deep bigint, doc_id bigint, x bigint, step int")
 
 
 def _ids(rows: DataFrame) -> DataFrame:
@@ -274,7 +273,7 @@ def _ids(rows: DataFrame) -> DataFrame:
 def _repeated_windows(windows: DataFrame) -> DataFrame:
     """doc_id, x and step of the windows that share a bucket at depth LENGTH with another.
 
-    Equal windows lie equally far before their anchor, so a bucket is dealt out by that distance as well.
+    They are dealt out by their identifier at that depth: only equal windows meet, whatever the bucket's size.
     """
     import pyarrow as pa
 
@@ -296,7 +295,7 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[:n][twice]) for x in rows[2:]], names=names[2:])
             before, held = (b[n - 1], d[n - 1]), [x[n:] for x in rows]
 
-    placed = windows.repartition("bucket", "part").drop("part").sortWithinPartitions("bucket", "deep")
+    placed = windows.repartition("deep").sortWithinPartitions("deep", "bucket")
     return placed.mapInArrow(run, "doc_id bigint, x bigint, step int")
 
 
