@@ -31,6 +31,8 @@ VERIFY_ROWS = 2048
 MEMTABLE_ROWS, MEMTABLES, FANOUT = 4096, 8, 4
 #: Digests for each block of 64 bits of a filter; a digest sets four bits.
 KEYS_PER_BLOCK = 4
+#: Blocks of filters up to which they are broadcast (about 5 MB).
+FILTER_ROWS = 1 << 16
 
 
 def normalised(text: Column) -> Column:
@@ -81,7 +83,8 @@ class DigestIndex:
         into, part = F.floor(F.col("run") / FANOUT).cast("int"), F.pmod(F.col("run"), F.lit(FANOUT))
         per_run = [F.bit_or(F.when(part == i, F.col("mask"))).alias(f"f{i}") for i in range(FANOUT)]
         filters = self.filters.groupBy(into.alias("into"), "block").agg(*per_run)
-        filters = common.small_or_shuffled(filters, self.filters.count())
+        if self.filters.count() <= FILTER_ROWS:
+            filters = F.broadcast(filters)
         rows = self.level.select(into.alias("into"), part.alias("part"), "digest", "first", "group_size", *self._bits()).join(filters, ["into", "block"], "left")
         others = [(F.col("part") != i) & (F.coalesce(F.col(f"f{i}"), F.lit(0).cast("long")).bitwiseAND(F.col("mask")) == F.col("mask")) for i in range(FANOUT)]
         return rows.select(F.col("into").alias("run"), "digest", "first", "group_size", functools.reduce(Column.__or__, others).alias("hit"))
