@@ -7,7 +7,8 @@ run of phrase words shorter than the shortest phrase is left out.  The rest is i
 prefix doubling, BWT, wavelet matrix, sampled positions); all phrases are searched backwards at once, their
 occurrences located, and the spans merged per document.
 
-The benchmark is the stated query set: it is taken in blocks of at most BLOCK_BYTES, each broadcast alone.
+The benchmark is the stated query set: it is taken in blocks of at most BLOCK_BYTES, each broadcast alone; further
+blocks read the documents again, and one block at a time is held by the driver.
 
 Defined results: null and empty texts have no words and are clean; items without words have no phrase;
 items with a null id mark words and count for contamination, but add no id; repeated rows and items
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,7 +126,7 @@ class Shard:
         return spans, [sorted(x) for x in items]
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], names: list[str], text_col: str, window: int) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[int, str]], names: list[str], text_col: str, window: int) -> tuple[DataFrame, Broadcast]:
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -158,7 +160,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], names: list[str], tex
                     shard, held = Shard(phrases), []
         yield from flush(shard, held)
 
-    return docs.select(*[docs[n] for n in names], docs[text_col].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[n] for n in names], docs[text_col].alias("__text")).mapInArrow(run, schema), shared
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str):
@@ -178,17 +180,22 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str):
 def find_phrases(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``keep``, n_words, spans (of words and UTF-8 bytes) and items for every row of docs."""
     names = list(dict.fromkeys([id_col, *keep]))
-    blocks = list(blocks_of(benchmark, item_col, item_text_col))
-    if len(blocks) == 1:
-        return _search(docs, blocks[0], names, text_col, window)
+    blocks = blocks_of(benchmark, item_col, item_text_col)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _search(docs, block, names, text_col, window)[0]
     row = "__row"
+    path = common.shared_dir(docs.sparkSession)
     # Stored, so that every block meets the same numbers whatever the rows' source does when it is read again.
     numbered = docs.select(*[docs[n] for n in dict.fromkeys([*names, text_col])]).withColumn(row, F.monotonically_increasing_id())
-    numbered = common.stored(numbered, f"{common.shared_dir(docs.sparkSession)}/numbered")
-    out = _search(numbered, blocks[0], [*names, row], text_col, window)
-    for block in blocks[1:]:
-        more = _search(numbered.select(id_col, text_col, row), block, [row], text_col, window)
-        out = out.unionByName(more, allowMissingColumns=True)
+    numbered = common.stored(numbered, f"{path}/numbered")
+    out, k = None, 0
+    while block is not None:  # the driver and the broadcast hold one block at a time
+        found, shared = _search(numbered, block, [row] if k else [*names, row], text_col, window)
+        found = common.stored(found, f"{path}/found-{k}")
+        shared.destroy()
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+        block, following, k = following, next(blocks, None) if following is not None else None, k + 1
     merged = out.groupBy(row).agg(
         *[F.first(n, ignorenulls=True).alias(n) for n in names],
         F.max("n_words").alias("n_words"),
