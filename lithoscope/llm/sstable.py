@@ -15,8 +15,8 @@ big-endian bytes with the sign bit flipped, so byte order is numeric order.  A v
 as little-endian unsigned integers.  Shards are written in ascending order of identifiers by Spark's own
 writer, so task retries and any file system that Spark can reach are covered.
 
-Defined results: null and empty texts have the end id alone; rows that repeat an identifier are each
-stored, ordered by their text; an empty table gives no shards and an empty result.
+Defined results: null and empty texts have the end id alone; rows that repeat an identifier or have none are
+each stored, in the order of a hash of their text; an empty table gives no shards and an empty result.
 """
 
 from __future__ import annotations
@@ -204,9 +204,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: in
             yield pa.RecordBatch.from_arrays([pa.array([shard.finish()], pa.binary())], names=["shard"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    placed = rows.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
-    shards = placed.mapInArrow(run, "shard binary").select(F.col("shard").cast("string").alias("value"))
+    # Rows of one identifier, or of none, may be many: they are dealt by their texts too, and equal rows by their place.
+    rows = rows.withColumn("text_code", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text_code"), F.col("place")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text_code", "text")
+    shards = placed.select("doc_id", "text").mapInArrow(run, "shard binary").select(F.col("shard").cast("string").alias("value"))
     shards.write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -249,9 +251,11 @@ def token_shards(docs: DataFrame, tokenizer_path: str, vocab_size: int, end_id:
     path = path or common.shared_dir(spark)
     write_shards(docs, f"{path}/shards", tokenizer_path, vocab_size, end_id, **columns)
     rows = common.stored(read_shards(spark, f"{path}/shards"), f"{path}/entries")
-    # One row per shard of several MB: the running total over shards is the only step in one task.
-    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sums.select("shard", before.alias("base"))
-    joined = rows.join(common.small_or_shuffled(bases, sums.count()), "shard")
+    # Shards are numbered within the task that wrote them: only one row for each such task is added up in one place.
+    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.shiftright("shard", 32))
+    before = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("part_base"))
+    bases = sums.withColumn("base", before(Window.partitionBy("part").orderBy("shard"))).join(parts, "part")
+    bases = common.stored(bases.select("shard", (F.col("base") + F.col("part_base")).alias("base")), f"{path}/bases")
+    joined = rows.join(common.small_or_shuffled(bases, bases.count()), "shard")
     return joined.select("doc_id", (F.col("base") + F.col("first")).cast("long").alias("start"), "n_tokens", "ids_crc32")
