@@ -1,10 +1,11 @@
 """Token counts by batch encoding in Arrow functions that return lengths only.
 
-Texts are cut at white space, where the tokenizer never joins two sides, so a long text needs no long
-encoding; the distinct pieces of a slice of rows are encoded by the library in batches of equal bytes, and
+Texts are cut at white space, where the tokenizer never joins two sides, and long runs without any between letters
+and marks, so a long text needs no long encoding unless it is one word; the distinct pieces of a slice of rows are encoded by the library in batches of equal bytes, and
 only their lengths are kept.  Row slices are balanced by bytes, not rows.
 
-Defined results: null and empty texts have no bytes and no tokens; repeated rows repeat their counts.
+Defined results: null and empty texts have no bytes and no tokens; repeated rows repeat their
+counts; rows without an identifier are counted like others.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from . import common
-from .tokenizing import encode_pieces, split_at_spaces, split_before_spaces
+from .tokenizing import encode_pieces, split_at_spaces, split_before_spaces, split_long
 
 #: Distinct pieces whose lengths a worker keeps.
 CACHED = 250_000
@@ -35,7 +36,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for a, b in common.slices_by_bytes(batch.column(1), SLICE_BYTES):
                 texts = batch.column(1).slice(a, b - a)
-                pieces = [cut(t or "") for t in texts.to_pylist()]
+                pieces = [split_long(cut(t or "")) for t in texts.to_pylist()]
                 new = list(set().union(*pieces).difference(known))
                 known.update(zip(new, map(len, encode_pieces(path, new)), strict=True))
                 counts = [sum(map(known.__getitem__, p)) for p in pieces]

@@ -24,6 +24,18 @@ def split_at_spaces(text: str) -> list[str]:
     return [text] if _SEPARATORS.search(text) else text.split()
 
 
+#: Characters of a piece beyond which it is cut again, between a letter and marks that no pre-token shares with letters.
+LONG = 1 << 12
+_WITHIN = re.compile(r"(?<=[^\W\d_])(?=[,;!?)。，！？；、])")
+
+
+def split_long(pieces: list[str]) -> list[str]:
+    """The pieces, long ones without white space in several; where no boundary is safe a piece stays whole."""
+    if max(map(len, pieces), default=0) <= LONG:
+        return pieces
+    return [part for p in pieces for part in (_WITHIN.split(p) if len(p) > LONG and not _SEPARATORS.search(p) else [p])]
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     """The library's tokenizer of a file, once per process."""
@@ -34,15 +46,16 @@ def tokenizer(path: str):
 
 
 def encode_pieces(path: str, pieces: list[str], most: int = 1 << 18):
-    """The library's encodings of the pieces, in batches of about ``most`` characters."""
+    """The library's encodings of the pieces, in batches of about ``most`` bytes."""
     tok = tokenizer(path)
     batch, size = [], 0
     for p in pieces:
-        if batch and size + len(p) > most:
+        n = len(p) if p.isascii() else len(p.encode())
+        if batch and size + n > most:
             yield from tok.encode_batch_fast(batch, add_special_tokens=False)
             batch, size = [], 0
         batch.append(p)
-        size += len(p)
+        size += n
     if batch:
         yield from tok.encode_batch_fast(batch, add_special_tokens=False)
 

@@ -169,3 +169,9 @@ def test_long_texts_take_time_in_proportion():
         began = time.perf_counter()
         sc.literal_spans(text)
         assert time.perf_counter() - began < 5, text[:20]
+
+
+def test_other_columns_may_have_the_names_of_results(docs):
+    odd = docs([(1, TEXTS[3]), (None, "")]).selectExpr("*", "'x' as spans", "1 as n_assign", "2 as base_sha256")
+    got = sorted(sc.scan_secrets(odd).collect(), key=lambda r: r.doc_id is None)
+    assert [(r.doc_id, r.n_assign, r.n_access) for r in got] == [(1, 1, 1), (None, 0, 0)]

@@ -77,3 +77,37 @@ def test_blocks_and_filter():
     assert [sstable.id_of(sstable.key_of(x)) for x in (-(2**63), -1, 0, 2**63 - 1, None)] == [-(2**63), -1, 0, 2**63 - 1, None]
     with pytest.raises(ValueError):
         sstable.Shard(b"something else")
+
+
+def test_null_ids_repeated_rows_and_odd_columns(docs):
+    """Every row gets its own result, whatever its identifier and whatever other columns are called."""
+    rows = [(1, "Hello, World!"), (1, "Hello, World!"), (None, "a b"), (None, None), (None, "a b")]
+    count = {t: len(Tokenizer.from_file(WORD).encode(t or "", add_special_tokens=False).ids) for _, t in rows}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(((i, count[t]) for i, t in rows), key=key)
+    odd = docs(rows).selectExpr("*", "1.5 as n_tokens", "'x' as n_bytes", "'y' as ids_sha256")
+    assert sorted(((r.doc_id, r.n_tokens) for r in bpe_round_trip(odd, WORD, outputs=("n_tokens", "ids_sha256")).collect()), key=key) == want
+    assert sorted(((r.doc_id, r.n_tokens) for r in token_counts(odd, WORD).collect()), key=key) == want
+
+
+def test_long_runs_without_white_space(docs, monkeypatch):
+    from lithoscope.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "LONG", 40)
+    runs = ["one,two;three!four?five)six" * 30, "日本語。中文，テスト！" * 40, "ΑΣ,ΣΑΣ;Σ.ΣΣ:Σ'S" * 20, "don't,can't!x2,y3" * 30, "é́,é;²,ⅷ!" * 30, "x,<|endoftext|>y,<|startoftext|>!" * 10, "a" * 500]
+    for path, drops in ((WORD, True), (BYTE, False)):
+        tok = Tokenizer.from_file(path)
+        for run in runs:
+            parts = tokenizing.split_long([run])
+            assert "".join(parts) == run and (len(parts) > 5 or run == "a" * 500)
+            assert sum(len(tok.encode(p, add_special_tokens=False).ids) for p in parts) == len(tok.encode(run, add_special_tokens=False).ids), run[:20]
+
+
+def test_shards_without_any_id(docs):
+    rows = [(None, f"text {i % 40}") for i in range(300)]
+    got = sstable.token_shards(docs(rows), BYTE, 50_257, 2).collect()
+    ends, at = sorted((r.start, r.start + r.n_tokens) for r in got), 0
+    assert len(got) == 300 and all(r.doc_id is None for r in got)
+    for a, b in ends:  # the documents lie one after the other
+        assert a == at
+        at = b
