@@ -139,7 +139,8 @@ def _collisions(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     """None if all texts of a digest are equal; else the digests that are not and the right rows for their documents."""
     side = common.small_or_shuffled(members.withColumnRenamed("doc_id", "member_id"), members.count())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(side, F.col("doc_id").eqNullSafe(F.col("member_id")))
-    texts = texts.select("doc_id", "text", normalised(F.col("text")).alias("norm"), "digest", "keep_id", "group_size")
+    texts = texts.select("doc_id", normalised(F.col("text")).alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars"), "digest", "keep_id", "group_size")
+    texts = common.stored(texts, f"{path}/texts")  # read twice below
     texts = texts.where(F.substring(F.unhex(F.sha2("norm", 256)), 1, digest_bytes) == F.col("digest"))
     salts = F.ceil(F.col("group_size") / F.lit(VERIFY_ROWS)).cast("int")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -149,8 +150,9 @@ def _collisions(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     wrong = hits.join(kept, ["digest", "salt"]).where(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
     wrong = common.stored(wrong, f"{path}/collided")
     if wrong.isEmpty():
+        common.remove(docs.sparkSession, f"{path}/texts")
         return None
-    again = texts.join(wrong, "digest", "left_semi").withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))))
+    again = texts.join(wrong, "digest", "left_semi")
     groups = again.groupBy("digest", "norm").agg(F.min(_order(F.col("n_chars"), F.col("doc_id"))).alias("first"), F.count(F.lit(1)).alias("size"))
     right = again.select("doc_id", "digest", "norm").join(groups, ["digest", "norm"])
     return wrong, right.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"))
