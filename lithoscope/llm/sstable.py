@@ -16,7 +16,7 @@ as little-endian unsigned integers.  Shards are written in ascending order of id
 writer, so task retries and any file system that Spark can reach are covered.
 
 Defined results: null and empty texts have the end id alone; rows that repeat an identifier or have none are
-each stored, in the order of a hash of their text; an empty table gives no shards and an empty result.
+each stored, in the order of their place in the input; an empty table gives no shards and an empty result.
 """
 
 from __future__ import annotations
@@ -204,10 +204,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: in
             yield pa.RecordBatch.from_arrays([pa.array([shard.finish()], pa.binary())], names=["shard"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    # Rows of one identifier, or of none, may be many: they are dealt by their texts too, and equal rows by their place.
-    rows = rows.withColumn("text_code", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text_code"), F.col("place")]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text_code", "text")
+    # Rows of one identifier, or of none, may be many: they are dealt out by their place in the input too.
+    order = [F.col("doc_id").asc_nulls_last(), F.col("place")]
+    placed = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     shards = placed.select("doc_id", "text").mapInArrow(run, "shard binary").select(F.col("shard").cast("string").alias("value"))
     shards.write.option("maxRecordsPerFile", 1).text(path)
 
