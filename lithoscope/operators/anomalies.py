@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.types import family
 from ..plans.grid import column, logical_types
-from .fused import fused, quantile
+from .exact import quantiles
+from .fused import QUARTILES, fused, quartiles
 
 FIELDS = {
     "count": "bigint", "min": "double", "max": "double", "mean": "double", "std": "double", "p25": "double", "p50": "double", "p75": "double", "zeros": "bigint", "negatives": "bigint",
@@ -18,13 +19,14 @@ FENCE, EXTREME, SKEW = 1.5, 6.0, 0.2
 
 
 def spread(df: DataFrame, names: list[str] | None = None, exact: bool = False) -> DataFrame:
-    """First pass: FIELDS of every numeric column."""
+    """First pass: FIELDS of every numeric column.  exact: exact quartiles, found by jobs of their own."""
     names = names or [n for n, t in logical_types(df).items() if family(t) == "numeric"]
+    known = quantiles(df, {n: column(n).cast("double") for n in names}, tuple(QUARTILES.values())) if exact else {}
 
     def aggregates(name: str) -> dict[str, Column]:
         d = column(name).cast("double")
         out = {"count": F.count(d), "min": F.min(d), "max": F.max(d), "mean": F.avg(d), "std": F.stddev_samp(d)}
-        out |= {f"p{int(q * 100)}": quantile(d, q, exact) for q in (0.25, 0.5, 0.75)}
+        out |= {f: F.max(F.lit(v)) for f, v in zip(QUARTILES, known[name], strict=True)} if exact else quartiles(d)
         return out | {"zeros": F.count_if(d == 0), "negatives": F.count_if(d < 0)}
 
     return fused(df, {n: aggregates(n) for n in names}, FIELDS)

@@ -21,13 +21,19 @@ def fused(df: DataFrame, per_column: dict[str, dict[str, Column]], kinds: dict[s
     return df.agg(*flat).select(F.inline(F.array(*rows)))
 
 
-def quantile(c: Column, q: float, exact: bool) -> Column:
-    """An interpolated percentile, or Spark's bounded-memory sketch for large data."""
-    return F.percentile(c, F.lit(q)) if exact else F.percentile_approx(c, F.lit(q), F.lit(10_000))
+#: The quantiles of a column: field and share.
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def distinct(c: Column, exact: bool) -> Column:
-    return F.count_distinct(c) if exact else F.approx_count_distinct(c, 0.01)
+def quartiles(c: Column) -> dict[str, Column]:
+    """Quartiles by one sketch of bounded size (``exact.quantiles`` has exact ones)."""
+    sketch = F.percentile_approx(c, F.array(*map(F.lit, QUARTILES.values())), F.lit(10_000))
+    return {field: sketch[i] for i, field in enumerate(QUARTILES)}
+
+
+def distinct(c: Column) -> Column:
+    """The number of distinct values by a sketch of bounded size (``exact.with_distinct`` has exact ones)."""
+    return F.approx_count_distinct(c, 0.01)
 
 
 def at_midnight(ts: Column) -> Column:

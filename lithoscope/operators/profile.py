@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.types import LogicalType, chip, family
 from ..plans.grid import column, logical_types, top_values
-from .fused import at_midnight, distinct, epoch_ms, fused, quantile, whole_seconds
+from .exact import quantiles, with_distinct
+from .fused import QUARTILES, at_midnight, distinct, epoch_ms, fused, quartiles, whole_seconds
 
 FIELDS = {
     "family": "string", "total": "bigint", "count": "bigint", "nulls": "bigint", "distinct": "bigint",
@@ -22,27 +23,27 @@ BINS, HOURS = 20, 24
 TOP_K, TOP_K_DISTINCT = 10, 50
 
 
-def column_aggregates(name: str, t: LogicalType, exact: bool) -> dict[str, Column]:
-    """The aggregates of one column's family."""
+def column_aggregates(name: str, t: LogicalType, known: list[float | None] | None = None) -> dict[str, Column]:
+    """The aggregates of one column's family.  known: its exact quartiles; sketches without."""
     c, kind = column(name), family(t)
     out = {"family": F.first(F.lit(kind)), "total": F.count(F.lit(1)), "count": F.count(c), "nulls": F.count(F.lit(1)) - F.count(c)}
     bounds = lambda x: {"str_min": F.min(x).cast("string"), "str_max": F.max(x).cast("string")}
     match kind:
         case "numeric":
-            out |= {"distinct": distinct(c, exact), "num_min": F.min(c).cast("double"), "num_max": F.max(c).cast("double"), "mean": F.avg(c).cast("double"), "std": F.stddev_samp(c)}
-            out |= {f"p{int(q * 100)}": quantile(c.cast("double"), q, exact) for q in (0.25, 0.5, 0.75)}
+            out |= {"distinct": distinct(c), "num_min": F.min(c).cast("double"), "num_max": F.max(c).cast("double"), "mean": F.avg(c).cast("double"), "std": F.stddev_samp(c)}
+            out |= {f: F.max(F.lit(v)) for f, v in zip(QUARTILES, known, strict=True)} if known else quartiles(c.cast("double"))
         case "string" | "json":
             length = F.octet_length(c) if t.kind in ("BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY", "BSON") else F.length(c)
             shown = F.hex(c) if t.kind in ("BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY", "BSON") else c
-            out |= {"distinct": distinct(c, exact), "min_len": F.min(length), "max_len": F.max(length), "avg_len": F.avg(length), **bounds(shown)}
+            out |= {"distinct": distinct(c), "min_len": F.min(length), "max_len": F.max(length), "avg_len": F.avg(length), **bounds(shown)}
         case "enum" | "uuid" | "time":
-            out |= {"distinct": distinct(c, exact), **bounds(c)}
+            out |= {"distinct": distinct(c), **bounds(c)}
         case "timestamp":
             ts = F.timestamp_micros((c / 1000).cast("bigint")) if t.unit == "NANOS" else c
-            out |= {"distinct": distinct(c, exact), **bounds(ts), "range_ms": epoch_ms(F.max(ts)) - epoch_ms(F.min(ts)), "whole_seconds": F.bool_and(whole_seconds(ts)), "midnight": F.bool_and(at_midnight(ts))}
+            out |= {"distinct": distinct(c), **bounds(ts), "range_ms": epoch_ms(F.max(ts)) - epoch_ms(F.min(ts)), "whole_seconds": F.bool_and(whole_seconds(ts)), "midnight": F.bool_and(at_midnight(ts))}
             out["granularity"] = F.when(out["midnight"], "date-only").when(out["whole_seconds"], "second-level").when(F.count(c) > 0, "sub-second")
         case "date":
-            out |= {"distinct": distinct(c, exact), **bounds(c), "range_days": F.date_diff(F.max(c), F.min(c))}
+            out |= {"distinct": distinct(c), **bounds(c), "range_days": F.date_diff(F.max(c), F.min(c))}
         case "boolean":
             out |= {"true_count": F.count_if(c)}
         case "list" | "map":
@@ -52,9 +53,18 @@ def column_aggregates(name: str, t: LogicalType, exact: bool) -> dict[str, Colum
 
 
 def describe(df: DataFrame, types: dict[str, LogicalType] | None = None, exact: bool = False) -> DataFrame:
-    """One row per column (FIELDS), from one scan.  exact: exact distinct counts and quantiles instead of sketches."""
+    """One row per column (FIELDS), from one scan.
+
+    exact: exact distinct counts and quartiles instead of sketches, which takes further scans of single columns;
+    the quartiles are found at once, by jobs of their own.
+    """
     types = types or logical_types(df)
-    return fused(df, {n: column_aggregates(n, t, exact) for n, t in types.items()}, FIELDS)
+    known = quantiles(df, {n: column(n).cast("double") for n, t in types.items() if family(t) == "numeric"}, tuple(QUARTILES.values())) if exact else {}
+    aggs = {n: column_aggregates(n, t, known.get(n)) for n, t in types.items()}
+    counted = {(n, "distinct"): column(n) for n, a in aggs.items() if exact and "distinct" in a}
+    for n, _ in counted:
+        aggs[n].pop("distinct")
+    return with_distinct(fused(df, aggs, FIELDS), df, counted)
 
 
 def _binned(df: DataFrame, value: Column, bins: int, low: float, high: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import NESTED, LogicalType, family
 from ..plans.grid import column, logical_types
+from .exact import with_distinct
 from .fused import distinct, epoch_ms, fused
 
 # Texts that stand for a missing value.
@@ -30,11 +31,11 @@ def numeric_like(text: Column) -> Column:
     return text.rlike(_NUMBER)
 
 
-def column_metrics(name: str, t: LogicalType, as_of: dt.datetime | None, exact: bool) -> dict[str, Column]:
+def column_metrics(name: str, t: LogicalType, as_of: dt.datetime | None) -> dict[str, Column]:
     c, kind = column(name), family(t)
     out = {"family": F.first(F.lit(kind)), "kind": F.first(F.lit(t.kind)), "total": F.count(F.lit(1)), "count": F.count(c), "nulls": F.count(F.lit(1)) - F.count(c)}
     if t.kind not in NESTED:
-        out["distinct"] = distinct(c, exact)
+        out["distinct"] = distinct(c)
     if t.kind == "STRING":
         trimmed = F.trim(c)
         shaped = trimmed.startswith("{") | trimmed.startswith("[")
@@ -42,7 +43,7 @@ def column_metrics(name: str, t: LogicalType, as_of: dt.datetime | None, exact:
             "empty": F.count_if(c == ""),
             "blank": F.count_if(trimmed == ""),
             "untrimmed": F.count_if(c != trimmed),
-            "distinct_ci": distinct(F.lower(c), exact),
+            "distinct_ci": distinct(F.lower(c)),
             "numeric_like": F.count_if((trimmed != "") & numeric_like(trimmed)),
             "jsonish": F.count_if(shaped),
             "json_invalid": F.count_if(shaped & F.try_parse_json(c).isNull()),
@@ -56,9 +57,13 @@ def column_metrics(name: str, t: LogicalType, as_of: dt.datetime | None, exact:
 
 
 def metrics(df: DataFrame, types: dict[str, LogicalType] | None = None, as_of: dt.datetime | None = None, exact: bool = False) -> DataFrame:
-    """One row per column (FIELDS).  as_of: the time that later values lie in the future of; now by default."""
+    """One row per column (FIELDS).  as_of: the time that later values lie in the future of; now by default.  exact: no sketches."""
     types = types or logical_types(df)
-    return fused(df, {n: column_metrics(n, t, as_of, exact) for n, t in types.items()}, FIELDS)
+    aggs = {n: column_metrics(n, t, as_of) for n, t in types.items()}
+    counted = {(n, f): c for n, a in aggs.items() for f, c in (("distinct", column(n)), ("distinct_ci", F.lower(column(n)))) if exact and f in a}
+    for n, f in counted:
+        aggs[n].pop(f)
+    return with_distinct(fused(df, aggs, FIELDS), df, counted)
 
 
 def duplicate_rows(df: DataFrame, types: dict[str, LogicalType] | None = None) -> DataFrame | None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions.types import LogicalType
 from ...plans.grid import column, logical_types
+from ..exact import with_distinct
 from ..fused import at_midnight, distinct, fused
 
 FIELDS = {
@@ -49,11 +50,11 @@ def value_of(path: tuple[str, ...]) -> Column:
     return c
 
 
-def probe(path: tuple[str, ...], t: LogicalType, exact: bool) -> dict[str, Column]:
+def probe(path: tuple[str, ...], t: LogicalType) -> dict[str, Column]:
     c = value_of(path)
     if t.kind in ("LIST", "MAP", "UNKNOWN"):
         return {"num_values": F.count(F.lit(1)), "non_null": F.count(c)}
-    out = {"num_values": F.count(F.lit(1)), "non_null": F.count(c), "distinct": distinct(c, exact)}
+    out = {"num_values": F.count(F.lit(1)), "non_null": F.count(c), "distinct": distinct(c)}
     match t.kind:
         case "INT":
             out |= {"num_min": F.min(c), "num_max": F.max(c)}
@@ -95,7 +96,11 @@ def probe(path: tuple[str, ...], t: LogicalType, exact: bool) -> dict[str, Colum
 def probes(df: DataFrame, types: dict[str, LogicalType] | None = None, exact: bool = False) -> DataFrame:
     """One row per target (its path joined by dots) with FIELDS."""
     types = types or logical_types(df)
-    return fused(df, {".".join(p): probe(p, t, exact) for p, t in targets(types)}, FIELDS)
+    aggs = {".".join(p): probe(p, t) for p, t in targets(types)}
+    counted = {(".".join(p), "distinct"): value_of(p) for p, _ in targets(types) if exact and "distinct" in aggs[".".join(p)]}
+    for n, _ in counted:
+        aggs[n].pop("distinct")
+    return with_distinct(fused(df, aggs, FIELDS), df, counted)
 
 
 #: Rows of a file that are compared in one window.

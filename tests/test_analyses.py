@@ -1,10 +1,14 @@
 import datetime as dt
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lithoscope.operators import anomalies as an
 from lithoscope.operators import correlations as co
+from lithoscope.operators import exact as ex
 from lithoscope.operators import profile as pr
 from lithoscope.operators import quality as q
 
@@ -114,3 +118,50 @@ def test_anomalies(spark):
     assert by["x"]["above"] == 2 and by["k"]["constant"] and by["n"]["count"] == 0 and by["k"]["lo_fence"] is None and by["x"]["skew"] == "symmetric"
     assert {f.code for f in flags} == {"outliers", "extreme", "negatives"} - {"negatives"}
     assert an.anomalies(df.limit(0).select("x"))[1] == []
+
+
+def test_correlations_with_nulls_constants_and_odd_values(spark):
+    rng = np.random.default_rng(3)
+    n = 5000
+    base = rng.normal(0, 1, n)
+    made = {"a": base + 1e9, "b": base * 2 + rng.normal(0, 1, n), "c": rng.normal(0, 1, n), "k": np.full(n, 0.1), "big": rng.normal(0, 1e-3, n) + 1e6}
+    frame = pd.DataFrame(made)
+    frame.loc[rng.random(n) < 0.3, "b"] = None
+    frame.loc[rng.random(n) < 0.9, "c"] = None
+    frame["only"] = np.where(frame["c"].notna(), 0.3, base)  # constant where c is present
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in frame.itertuples(index=False)], ", ".join(f"{c} double" for c in frame)).repartition(7)
+    got = {(r.a, r.b): r.r for r in co.correlations(df).collect()}
+    want = frame.corr()
+    for (a, b), r in got.items():
+        if "k" in (a, b) or {a, b} == {"c", "only"}:
+            assert r is None, (a, b)
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-7), (a, b)
+    odd = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, math.nan, 2.0), (3.0, 4.0, None), (None, math.inf, 5.0)], "x double, y double, z double").repartition(2)
+    got = {(r.a, r.b): r.r for r in co.correlations(odd).collect()}
+    assert math.isnan(got["x", "y"]) and got["x", "z"] == pytest.approx(1) and math.isnan(got["y", "z"])
+    assert all(r.r is None for r in co.correlations(odd.limit(0)).collect()) and co.correlations(odd.limit(0)).count() == 3
+
+
+def test_exact_quantiles_and_counts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 3000
+    made = {"normal": rng.normal(0, 1, n), "ties": rng.integers(0, 3, n).astype(float), "skew": np.exp(rng.normal(0, 4, n)), "one": np.full(n, 7.0), "sorted": np.arange(n) / 7, "few": np.r_[1.5, 2.5, np.full(n - 2, np.nan)], "none": np.full(n, np.nan)}
+    rows = [tuple(None if math.isnan(v) else float(v) for v in r) for r in zip(*made.values(), strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in made)).repartition(5)
+    shares = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
+    for few, bracket in ((10_000, 100_000), (100, 100_000), (100, 5)):  # plain percentiles, brackets, narrowed brackets
+        monkeypatch.setattr(ex, "FEW_ROWS", few)
+        monkeypatch.setattr(ex, "BRACKET_ROWS", bracket)
+        monkeypatch.setattr(ex, "ACCURACY", 10_000 if few > 100 else 100)
+        monkeypatch.setattr(ex, "SLACK", 3e-4 if few > 100 else 0.03)
+        got = ex.quantiles(df, {c: F.col(c) for c in made}, shares)
+        for c, v in made.items():
+            v = v[~np.isnan(v)]
+            assert got[c] == ([None] * 6 if not len(v) else pytest.approx(list(np.quantile(v, shares)), rel=1e-12)), (c, few, bracket)
+    monkeypatch.setattr(ex, "SLACK", -0.2)  # brackets that miss their ranks are opened
+    assert ex.quantiles(df, {"normal": F.col("normal")}, (0.5,))["normal"] == [pytest.approx(np.quantile(made["normal"], 0.5))]
+    texts = spark.createDataFrame([("x" * 65,), ("x" * 65,), ("x" * 66,), ("a",), (None,), ("A",)], "t string")
+    assert pr.describe(texts, exact=True).first()["distinct"] == 4
+    m = q.metrics(texts, exact=True).first()
+    assert (m["distinct"], m.distinct_ci) == (4, 3)
