@@ -111,8 +111,8 @@ def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     total = lambda own, x, y: F.sum(F.col(own) + F.col("n") * F.col(f"d{x}") * F.col(f"d{y}"))
     vary = (F.min("low_a") < F.max("high_a")) & (F.min("low_b") < F.max("high_b"))
     sums = parts.groupBy("a", "b").agg(total("aa", "a", "a").alias("aa"), total("bb", "b", "b").alias("bb"), total("ab", "a", "b").alias("ab"), vary.alias("vary"), F.bool_or("odd").alias("odd"))
-    r = F.when(F.col("odd"), F.lit(float("nan"))).when(F.col("vary"), F.try_divide("ab", F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))))
-    found = sums.select(F.col("a").alias("i"), F.col("b").alias("j"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    r = F.when(F.col("vary") & ~F.col("odd"), F.try_divide("ab", F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))))
+    found = sums.select(F.col("a").alias("i"), F.col("b").alias("j"), F.when(F.col("odd"), F.lit(float("nan"))).otherwise( F.when(F.abs(r) > 1, F.signum(r)).otherwise(r)).alias("r"))
     named = spark.createDataFrame(pairs, "i int, j int, a string, b string")
     return named.join(F.broadcast(found), ["i", "j"], "left").select("a", "b", "r")  # at most a row for each pair
 
