@@ -133,8 +133,8 @@ def shared_passages(docs: DataFrame, path: str) -> DataFrame:
     stand = F.min(F.struct("doc_id", "x", "n")).alias("one")
     classes = runs.groupBy("bucket", "class").agg(across("doc_id").alias("cross"), F.count(F.lit(1)).alias("size"), stand)
     classes = common.stored(classes, f"{path}/word-classes")
-    several = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket")
-    asked = classes.join(several, "bucket", "left_semi").select("one.doc_id", "one.x", "one.n", "cross")
+    several = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    asked = common.join_hot(classes, several, ["bucket"], "kinds", classes.count()).select("one.doc_id", "one.x", "one.n", "cross")
     strings = common.stored(_strings(docs, asked, path), f"{path}/word-strings")
     twice = strings.groupBy("string").agg((F.max("cross") | across("doc_id")).alias("across"), F.count(F.lit(1)).alias("size")).where("across").select("string", "size")
     twice = common.stored(twice, f"{path}/word-repeats")
