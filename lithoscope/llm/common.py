@@ -23,7 +23,7 @@ HOT_ROWS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share; it goes when the driver's JVM ends.
 
     Where the session names none (local tests), one is made in the local temporary folder.
     """
@@ -33,7 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lithoscope-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lithoscope-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/lithoscope-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)  # results may be read until then
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
