@@ -189,13 +189,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: in
 
     def run(batches):
         codec = packed_ids(tokenizer_path, width, special)
-        common.claim("sstable", codec.known.clear)
+        common.claim("sstable", codec.clear)
         place = TaskContext.get().partitionId() << 32  # ranges ascend with the partitions
         shard, end = ShardWriter(width, place), end_id.to_bytes(width, "little")
         for batch in batches:
             for a, b in common.slices_by_bytes(batch.column(1), 1 << 20):
-                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), codec.encode(texts), strict=True):
+                packed = codec.encode_column(batch.column(1).slice(a, b - a))
+                for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), packed, strict=True):
                     shard.add(key_of(doc_id), ids + end)
                     if shard.size + len(shard.block) >= SHARD_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array([shard.finish()], pa.binary())], names=["shard"])
