@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.types import LogicalType
@@ -103,22 +103,68 @@ def probes(df: DataFrame, types: dict[str, LogicalType] | None = None, exact: bo
     return with_distinct(fused(df, aggs, FIELDS), df, counted)
 
 
-#: Rows of a file that are compared in one window.
-CHUNK_ROWS = 1_000_000
+def sorted_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """name and sorted: whether a column of a Parquet source never falls from row to row of a file.
 
+    One scan for all columns: tasks compare the rows of their part of a file in the file's order and give out its
+    ends; the ends of consecutive parts are compared after, one row for each part.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = df.sparkSession
+    if not names:
+        return spark.createDataFrame([], "name string, sorted boolean")
+    rows = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("i"), *[column(n).alias(f"c{k}") for k, n in enumerate(names)])
+    types = [rows.schema[f"c{k}"].dataType.simpleString() for k in range(len(names))]
+    schema = "file string, start bigint" + "".join(f", a{k} {t}, b{k} {t}, falls{k} boolean" for k, t in enumerate(types))
+
+    class Part:
+        """Consecutive rows of one file: of each column its first and last value, and whether it fell."""
+
+        def __init__(self, file, start):
+            self.file, self.start, self.next = file, start, start
+            self.first, self.last, self.falls = [None] * len(names), [None] * len(names), [False] * len(names)
+
+        def add(self, columns, n):
+            self.next += n
+            for k, values in enumerate(columns):
+                v = values.drop_null()
+                if len(v):
+                    before = self.last[k]
+                    self.falls[k] |= (before is not None and pc.less(v[0], before).as_py()) or bool(pc.any(pc.less(v[1:], v[:-1])).as_py())
+                    self.first[k] = v[0] if before is None else self.first[k]
+                    self.last[k] = v[-1]
+
+        def row(self, kinds):
+            ends = [x for k, t in enumerate(kinds) for x in (pa.array([self.first[k]] if self.first[k] is not None else [None], t), pa.array([self.last[k]] if self.last[k] is not None else [None], t), pa.array([bool(self.falls[k])]))]
+            return pa.RecordBatch.from_arrays([pa.array([self.file]), pa.array([self.start], pa.int64()), *ends], names=[f.split(" ")[0] for f in schema.split(", ")])
+
+    def run(batches):
+        part, kinds = None, []
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[2:]]
+            files, index = batch.column(0), batch.column(1).to_numpy()
+            cuts = [0] if batch.num_rows else []
+            cuts += [at for at in range(1, batch.num_rows) if index[at] != index[at - 1] + 1] if batch.num_rows and index[-1] - index[0] != batch.num_rows - 1 else []
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                file, start = files[a].as_py(), int(index[a])
+                if part is None or (part.file, part.next) != (file, start):
+                    if part is not None:
+                        yield part.row(kinds)
+                    part = Part(file, start)
+                part.add([c.slice(a, b - a) for c in batch.columns[2:]], b - a)
+        if part is not None:
+            yield part.row(kinds)
+
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.mapInArrow(run, schema)
+    falls = [F.bool_or(F.col(f"f{k}")).alias(f"f{k}") for k in range(len(names))]
+    joined = parts.select(*[(F.col(f"falls{k}") | F.coalesce(F.col(f"a{k}") < F.last(f"b{k}", ignorenulls=True).over(before), F.lit(False))).alias(f"f{k}") for k in range(len(names))])
+    found = [F.struct(F.lit(n).alias("name"), (~F.coalesce(F.col(f"f{k}"), F.lit(False))).alias("sorted")) for k, n in enumerate(names)]
+    return joined.agg(*falls).select(F.inline(F.array(*found)))
 
-def is_sorted(df: DataFrame, name: str) -> DataFrame:
-    """One row with sorted: whether a column of a Parquet source never falls from row to row, file by file.
 
-    Rows are compared within chunks of a file; the ends of consecutive chunks are compared after, so no task
-    sees more than a chunk, or one row for each of them.
-    """
-    from pyspark.sql import Window
-
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("i")]
-    rows = df.select(column(name).alias("v"), *place).where("v is not null").withColumn("chunk", F.expr(f"i DIV {CHUNK_ROWS}"))
-    within = Window.partitionBy("file", "chunk").orderBy("i")
-    falls = rows.withColumn("falls", F.coalesce(F.col("v") < F.lag("v").over(within), F.lit(False)))
-    chunks = falls.groupBy("file", "chunk").agg(F.min_by("v", "i").alias("a"), F.max_by("v", "i").alias("b"), F.bool_or("falls").alias("falls"))
-    ends = chunks.withColumn("falls", F.col("falls") | F.coalesce(F.col("a") < F.lag("b").over(Window.orderBy("file", "chunk")), F.lit(False)))
-    return ends.agg((~F.coalesce(F.bool_or("falls"), F.lit(False))).alias("sorted"))
+def is_sorted(df: DataFrame, name: str) -> DataFrame:
+    """One row with sorted, of one column (see ``sorted_columns``)."""
+    return sorted_columns(df, [name]).select("sorted")

@@ -21,7 +21,8 @@ class Plan:
     sort: list[str] = field(default_factory=list)
     group_rows: int | None = None
     bloom: list[str] = field(default_factory=list)
-    delta: bool = False
+    delta: list[str] = field(default_factory=list)
+    run_length: list[str] = field(default_factory=list)
     recompressed: bool = False
     dictionary: list[str] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
@@ -52,13 +53,34 @@ def plan_of(suggestions: list[Suggestion], selected: set[str], types: dict[str,
                 plan.recompressed = True
             case "categorical" | "enum":
                 plan.dictionary.append(r.path[0])
+                if r.kind == "enum":
+                    plan.notes.append(f"{r.path[0]} stays text, dictionary-encoded: the writer has no enumerations")
             case "encoding":
-                plan.delta |= r.encoding.startswith("DELTA")
+                name, t = r.path[0], types.get(r.path[0])
+                if r.encoding.startswith("DELTA") and (t is None or t.kind == "INT"):
+                    plan.delta.append(name)
+                elif r.encoding == "RLE":
+                    plan.run_length.append(name)
+                else:
+                    plan.notes.append(f"{name} keeps its encoding: the writer has {r.encoding} for whole numbers only")
     plan.sort = list(dict.fromkeys(name for _, name in sorted(ranks)))
     plan.notes += [f"{n} is written at microseconds instead of milliseconds" for n, t in types.items() if t.kind == "TIMESTAMP" and t.unit == "MILLIS" and (n,) not in plan.casts]
+    plan.dictionary = [n for n in dict.fromkeys(plan.dictionary) if n not in plan.delta]
     return plan
 
 
+def options_of(plan: Plan, distinct: dict[str, int] | None = None) -> dict[str, str]:
+    """The writer's options for a plan.  distinct: numbers of values, for the sizes of Bloom filters."""
+    # Delta and run-length encodings are the second format's; a dictionary would come before them.
+    out = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0" if plan.delta or plan.run_length else "PARQUET_1_0"}
+    if plan.group_rows:
+        out |= {"parquet.block.row.count.limit": str(plan.group_rows), "parquet.block.size": str(1 << 30)}
+    out |= {f"parquet.enable.dictionary#{n}": "true" for n in plan.dictionary} | {f"parquet.enable.dictionary#{n}": "false" for n in plan.delta}
+    for n in plan.bloom:
+        out |= {f"parquet.bloom.filter.enabled#{n}": "true", f"parquet.bloom.filter.expected.ndv#{n}": str((distinct or {}).get(n) or 1_000_000)}
+    return out
+
+
 def _casted(c: Column, ddl: str, t: LogicalType | None) -> Column:
     if t is not None and t.kind == "TIMESTAMP" and t.unit == "NANOS" and ddl.startswith(("timestamp", "date")):
         micros = F.timestamp_micros((c / 1000).cast("bigint"))  # carried as nanoseconds
@@ -85,18 +107,11 @@ def transformed(df: DataFrame, plan: Plan, types: dict[str, LogicalType] | None
 
 def write(df: DataFrame, plan: Plan, path: str, distinct: dict[str, int] | None = None, partitions: int | None = None) -> None:
     """Write as ZSTD.  A sort is by ranges of the keys: files follow one another, each sorted within."""
-    writer_conf = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0" if plan.delta else "PARQUET_1_0"}
-    if plan.group_rows:
-        writer_conf["parquet.block.row.count.limit"] = str(plan.group_rows)
-        writer_conf["parquet.block.size"] = str(1 << 30)
-    for name in plan.bloom:
-        writer_conf[f"parquet.bloom.filter.enabled#{name}"] = "true"
-        writer_conf[f"parquet.bloom.filter.expected.ndv#{name}"] = str((distinct or {}).get(name) or 1_000_000)
     if plan.sort:
         order = [column(n).asc_nulls_last() for n in plan.sort]
         ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
         df = ranged.sortWithinPartitions(*order)
-    df.write.mode("overwrite").options(**writer_conf).parquet(path)
+    df.write.mode("overwrite").options(**options_of(plan, distinct)).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -129,6 +144,8 @@ def remarks(plan: Plan) -> tuple[str, ...]:
         out.append(f"row groups of {plan.group_rows:,} rows")
     if plan.dictionary:
         out.append(f"{len(plan.dictionary)} dictionary-encoded column(s): faster equality filters")
+    if plan.delta or plan.run_length:
+        out.append(f"{len(plan.delta) + len(plan.run_length)} column(s) in delta or run-length encoding: fewer bytes")
     if plan.bloom:
         out.append(f"Bloom filters on {', '.join(plan.bloom)}: faster look-ups")
     return tuple(out + plan.notes)
@@ -164,10 +181,7 @@ def script(plan: Plan, source: str, target: str) -> str:
     if plan.sort:
         keys = ", ".join(f"F.col({('`' + n + '`')!r}).asc_nulls_last()" for n in plan.sort)
         lines.append(f"df = df.repartitionByRange({keys}).sortWithinPartitions({keys})")
-    options = [("compression", "zstd")] + ([("parquet.block.row.count.limit", str(plan.group_rows))] if plan.group_rows else [])
-    options += [("parquet.writer.version", "PARQUET_2_0")] if plan.delta else []
-    options += [(f"parquet.bloom.filter.enabled#{n}", "true") for n in plan.bloom]
     lines.append("writer = df.write.mode('overwrite')")
-    lines += [f"writer = writer.option({k!r}, {v!r})" for k, v in options]
+    lines += [f"writer = writer.option({k!r}, {v!r})" for k, v in options_of(plan).items()]
     lines.append(f"writer.parquet({target!r})")
     return "\n".join([*lines, *(f"# {n}" for n in plan.notes)]) + "\n"

@@ -185,25 +185,40 @@ def target_rows(compressed: int | None, rows: int | None) -> int:
     return clamp_rows(GROUP_BYTES / (compressed / rows)) if compressed and rows else GROUP_ROWS_DEFAULT
 
 
-def row_group_suggestions(groups: list[dict], rows: int) -> list[Suggestion]:
+@dataclass(frozen=True)
+class Layout:
+    """The row groups of a source in a few numbers."""
+
+    groups: int
+    rows: int
+    total: int
+    least: int
+    most: int
+
+
+def layout_of(groups: list[dict]) -> Layout:
+    sizes = [g["compressed"] for g in groups]
+    return Layout(len(sizes), sum(g["num_rows"] for g in groups), sum(sizes), min(sizes, default=0), max(sizes, default=0))
+
+
+def row_group_suggestions(groups: list[dict] | Layout, rows: int) -> list[Suggestion]:
     """At most one remark on sizes (groups: num_rows and compressed), and always the layout as it is."""
-    if not groups:
+    a = groups if isinstance(groups, Layout) else layout_of(groups)
+    if not a.groups:
         return []
-    sizes = [g["compressed"] for g in groups]
-    n, total, least, most = len(sizes), sum(sizes), min(sizes), max(sizes)
-    mean, mean_rows = total / n, sum(g["num_rows"] for g in groups) / n
+    mean, mean_rows = a.total / a.groups, a.rows / a.groups
     found = None
-    if n == 1 and total < 8 * MIB:
+    if a.groups == 1 and a.total < 8 * MIB:
         pass
-    elif n > 1 and mean < 8 * MIB:
+    elif a.groups > 1 and mean < 8 * MIB:
         found = "size:small", "high" if mean < MIB else "medium", f"Groups of {format_human(mean)} on average are too small."
     elif mean > 256 * MIB:
         found = "size:large", "high" if mean > 1024 * MIB else "medium", f"Groups of {format_human(mean)} on average are too large."
-    elif n > 1 and total >= 16 * MIB and 0 < mean_rows < GROUP_ROWS_MIN:
+    elif a.groups > 1 and a.total >= 16 * MIB and 0 < mean_rows < GROUP_ROWS_MIN:
         found = "rows:few", "low", f"Groups of {mean_rows:,.0f} rows on average are too short."
-    elif n > 1 and least > 0 and most / least > 5:
-        found = "size:uneven", "low", f"Groups range from {format_human(least)} to {format_human(most)}."
-    layout = f"{n:,} row groups, {sum(g['num_rows'] for g in groups):,} rows, {format_human(total)}"
+    elif a.groups > 1 and a.least > 0 and a.most / a.least > 5:
+        found = "size:uneven", "low", f"Groups range from {format_human(a.least)} to {format_human(a.most)}."
+    layout = f"{a.groups:,} row groups, {a.rows:,} rows, {format_human(a.total)}"
     out = [Suggestion("rowgroup:layout", "rowgroup", "low", None, layout, "—", "The row groups that readers can skip.")]
     if found:
         out.insert(0, Suggestion(f"rowgroup:{found[0]}", "rowgroup", found[1], None, layout, f"{rows:,} rows a group", found[2], rule=Rule("row_group", rows=rows)))

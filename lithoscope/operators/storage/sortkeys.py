@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.types import LogicalType
@@ -23,19 +24,45 @@ def overlap(bounds: list[tuple]) -> float | None:
     return sum(b[0] < a[1] for a, b in zip(known, known[1:], strict=False)) / (len(known) - 1)
 
 
+def overlaps(chunks: DataFrame) -> dict[str, float | None]:
+    """For each top-level column that is no struct: the overlap of its chunks' bounds (see ``overlap``), one row for each comes to the driver."""
+    known = chunks.where("size(path) = 1")
+    number = F.col("min_num").isNotNull()
+    out: dict[str, float | None] = {}
+    for low, high, kind in (("min_num", "max_num", number), ("min_text", "max_text", ~number)):
+        bounds = known.where(kind & F.col(low).isNotNull() & F.col(high).isNotNull()).select("top", F.col(low).alias("low"), F.col(high).alias("high"))
+        before = F.lag("high").over(Window.partitionBy("top").orderBy("low", "high"))
+        shares = bounds.withColumn("over", F.coalesce(F.col("low") < before, F.lit(False))).groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.count_if("over").alias("k"))
+        out |= {r["top"]: r["k"] / (r["n"] - 1) if r["n"] > 1 else None for r in shares.collect()}
+    return out
+
+
 def simulated_groups(df: DataFrame, keys: list[str], measured: str, group_rows: int) -> DataFrame:
     """rg, lo, hi of a column in groups of rows after a sort by keys (nulls last).
 
-    Rows are numbered in one task: call it on a sample, which SAMPLE_ROWS bounds whatever the table's size.
+    Rows are dealt by ranges of the keys and numbered in their tasks; the tasks' counts (one row for each) are added up.
     """
+    order = [F.col(f"k{i}").asc_nulls_last() for i in range(len(keys))]
     rows = df.select(*[column(k).alias(f"k{i}") for i, k in enumerate(keys)], column(measured).alias("sec"))
-    numbered = rows.select("sec", F.expr(f"(row_number() OVER (ORDER BY {', '.join(f'k{i} ASC NULLS LAST' for i in range(len(keys)))}) - 1) DIV {group_rows}").alias("rg"))
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("sec", F.monotonically_increasing_id().alias("at"))
+    # Kept, as numbers and counts have to come from the same dealing.
+    placed = placed.select("sec", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("i")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "part long, start long"))
+    numbered = placed.join(offsets, "part").select("sec", F.expr(f"(start + i) DIV {group_rows}").alias("rg"))
     return numbered.groupBy("rg").agg(F.min("sec").alias("lo"), F.max("sec").alias("hi"))
 
 
 def sampled(df: DataFrame, rows: int, most: int = SAMPLE_ROWS, seed: int = 1) -> DataFrame:
-    """All rows if they are few, else about ``most`` of them by a random share."""
-    return df if rows <= most else df.sample(False, min(1.0, most / rows), seed)
+    """All rows if they are few, else ``most`` of them at random."""
+    if rows <= most:
+        return df
+    share = min(1.0, (most + 6 * math.sqrt(most) + 10) / rows)  # a few more, so that it is enough
+    return df.sample(False, share, seed).orderBy(F.rand(seed)).limit(most)
 
 
 def measured_overlap(df: DataFrame, keys: list[str], measured: str, rows: int, groups: int) -> float | None:
@@ -44,11 +71,15 @@ def measured_overlap(df: DataFrame, keys: list[str], measured: str, rows: int, g
     return overlap([(r["lo"], r["hi"]) for r in found])
 
 
-def candidates(types: dict[str, LogicalType], bounds: dict[str, list[tuple]], probes: dict[str, dict]) -> list[tuple[str, float]]:
-    """(column, overlap), the most useful first: no near-keys if others are there, then the least overlap."""
+def candidates(types: dict[str, LogicalType], bounds: dict[str, list[tuple] | float | None], probes: dict[str, dict]) -> list[tuple[str, float]]:
+    """(column, overlap), the most useful first: no near-keys if others are there, then the least overlap.
+
+    bounds: each column's overlap, or the (min, max) of its chunks.
+    """
     found = []
     for name, t in types.items():
-        share = overlap(bounds.get(name, []))
+        share = bounds.get(name)
+        share = overlap(share) if isinstance(share, list) else share
         p = probes.get(name) or {}
         d, n = p.get("distinct"), p.get("num_values")
         if t.kind in ("LIST", "MAP", "STRUCT", "BOOLEAN") or share is None or (d is not None and d <= 1):
@@ -76,7 +107,7 @@ def choose(ranked: list[tuple[str, float]], measure) -> tuple[list[str], dict[st
     return best[1], best[2]
 
 
-def sort_suggestions(df: DataFrame, types: dict[str, LogicalType], bounds: dict[str, list[tuple]], probes: dict[str, dict], rows: int, groups: int) -> list[Suggestion]:
+def sort_suggestions(df: DataFrame, types: dict[str, LogicalType], bounds: dict[str, list[tuple] | float | None], probes: dict[str, dict], rows: int, groups: int) -> list[Suggestion]:
     """Keys to sort by, or the remark that the file is sorted; nothing for a single row group."""
     ranked = candidates(types, bounds, probes) if groups >= 2 else []
     if not ranked:

@@ -13,26 +13,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formatting import format_kv
+from . import thrift
 
 CHUNKS = (
     "file string, row_group int, ordinal int, path array<string>, top string, physical string, codec string, encodings array<string>, "
-    "compressed bigint, uncompressed bigint, num_values bigint, nulls bigint, distinct bigint, min_text string, max_text string, min_num double, max_num double"
+    "compressed bigint, uncompressed bigint, num_values bigint, nulls bigint, distinct bigint, min_text string, max_text string, min_num double, max_num double, bloom boolean"
 )
 GROUPS = "file string, row_group int, num_rows bigint, uncompressed bigint"
 FILES = "file string, created_by string, num_rows bigint, num_row_groups int, format_version string, footer_bytes bigint, num_columns int, kv array<struct<key:string,value:string>>"
-NODES = "file string, path array<string>, name string, physical string, logical string, converted string, max_definition int, max_repetition int, length int, precision int, scale int"
+NODES = (
+    "file string, ordinal int, path array<string>, name string, physical string, length int, repetition string, num_children int, converted string, precision int, scale int, field_id int, "
+    "logical string, max_definition int, max_repetition int"
+)
 
 
-def open_footer(path: str):
-    """pyarrow's footer of a file, on any file system that pyarrow knows."""
+def raw_footer(path: str) -> bytes:
+    """The encoded footer of a file, on any file system that pyarrow knows."""
     import pyarrow.fs as pafs
+
+    uri = path if "://" in path else "file://" + path.removeprefix("file:") if path.startswith("file:") else None
+    fs, inner = pafs.FileSystem.from_uri(uri) if uri else (pafs.LocalFileSystem(), path)
+    with fs.open_input_file(inner) as f:
+        end = f.size()
+        f.seek(max(0, end - 8))
+        tail = f.read(8)
+        n = int.from_bytes(tail[:4], "little")
+        if tail[4:] != thrift.MAGIC or n > end - 12:
+            raise ValueError(f"{path} is no Parquet file")
+        f.seek(end - 8 - n)
+        return f.read(n)
+
+
+def metadata(footer: bytes):
+    """pyarrow's view of an encoded footer."""
+    import pyarrow as pa
     import pyarrow.parquet as pq
 
-    if "://" in path or path.startswith("file:"):
-        fs, inner = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-        with fs.open_input_file(inner) as f:
-            return pq.ParquetFile(f).metadata
-    return pq.read_metadata(path)
+    return pq.ParquetFile(pa.BufferReader(thrift.MAGIC + footer + len(footer).to_bytes(4, "little") + thrift.MAGIC)).metadata
+
+
+def open_footer(path: str):
+    """pyarrow's footer of a file."""
+    return metadata(raw_footer(path))
 
 
 def files_of(spark: SparkSession, path: str) -> list[str]:
@@ -80,7 +102,8 @@ def _number(v) -> float | None:
     return None
 
 
-def _chunks(file: str, meta):
+def _chunks(file: str, raw: bytes):
+    meta, blooms = metadata(raw), thrift.blooms(thrift.decoded(raw))
     paths = paths_of_columns(meta)
     for g in range(meta.num_row_groups):
         group = meta.row_group(g)
@@ -92,36 +115,43 @@ def _chunks(file: str, meta):
             shown = lambda v: None if v is None else v.hex() if isinstance(v, bytes) else str(v)
             yield (
                 file, g, c, paths[c], paths[c][0], col.physical_type, col.compression, sorted(set(col.encodings)), col.total_compressed_size, col.total_uncompressed_size, col.num_values,
-                stats.null_count if stats is not None and stats.has_null_count else None, stats.distinct_count if stats is not None and stats.has_distinct_count else None, shown(low), shown(high), _number(low), _number(high),
+                stats.null_count if stats is not None and stats.has_null_count else None, stats.distinct_count if stats is not None and stats.has_distinct_count else None, shown(low), shown(high), _number(low), _number(high), blooms[g][c],
             )
 
 
-def _groups(file: str, meta):
+def _groups(file: str, raw: bytes):
+    meta = metadata(raw)
     for g in range(meta.num_row_groups):
         yield file, g, meta.row_group(g).num_rows, meta.row_group(g).total_byte_size
 
 
-def _files(file: str, meta):
+def _files(file: str, raw: bytes):
+    meta = metadata(raw)
     kv = [{"key": format_kv(k), "value": format_kv(v)} for k, v in (meta.metadata or {}).items()]
     yield file, meta.created_by, meta.num_rows, meta.num_row_groups, meta.format_version, meta.serialized_size, meta.num_columns, kv
 
 
-def _nodes(file: str, meta):
-    for i, path in enumerate(paths_of_columns(meta)):
-        c = meta.schema.column(i)
-        kind = str(c.logical_type.type) if c.logical_type else "NONE"
-        yield file, path, path[-1], c.physical_type, kind, c.converted_type, c.max_definition_level, c.max_repetition_level, c.length, c.precision, c.scale
+def _nodes(file: str, raw: bytes):
+    meta, leaf = metadata(raw), 0
+    for i, node in enumerate(thrift.nodes(thrift.decoded(raw))):
+        if node[2] is None:  # a group
+            yield file, i, *node, None, None, None
+        else:
+            c = meta.schema.column(leaf)
+            leaf += 1
+            yield file, i, *node, str(c.logical_type.type) if c.logical_type else "NONE", c.max_definition_level, c.max_repetition_level
 
 
 def _read(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
     import pandas as pd
 
     files = files_of(spark, path)
+    names = [p.strip().split(" ")[0] for p in _split(schema)]
 
     def run(batches):
         for batch in batches:
             for file in batch["file"]:
-                yield pd.DataFrame(list(rows_of(file, open_footer(file))), columns=[p.strip().split(" ")[0] for p in _split(schema)])
+                yield pd.DataFrame(list(rows_of(file, raw_footer(file))), columns=names, dtype=object)
 
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 1000))).mapInPandas(run, schema)
 
@@ -159,12 +189,12 @@ def kv_meta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def schema_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """One row per leaf of the schema."""
+    """One row per node of the schema, groups and the root (whose path is empty) included."""
     return _read(spark, path, _nodes, NODES)
 
 
 def column_rollup(chunks: DataFrame) -> DataFrame:
-    """Per top-level column: codecs, encodings, sizes, values, nulls, bounds (numbers as numbers)."""
+    """Per top-level column: codecs, encodings, sizes, values, nulls, bounds (numbers as numbers), Bloom filters in any and in all chunks."""
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
     return (
         chunks.withColumn("encoding", F.array_join("encodings", ", "))
@@ -181,6 +211,8 @@ def column_rollup(chunks: DataFrame) -> DataFrame:
             F.max("max_num").alias("max_num"),
             F.min("min_text").alias("min_text"),
             F.max("max_text").alias("max_text"),
+            F.bool_or("bloom").alias("any_bloom"),
+            F.bool_and("bloom").alias("all_bloom"),
         )
     )
 
@@ -220,41 +252,27 @@ def arrow_schema(kv_value: str):
     return pa.ipc.read_schema(pa.py_buffer(base64.b64decode(kv_value)))
 
 
-def bloom_columns(spark: SparkSession, file: str) -> set[str]:
-    """Columns of one file with a Bloom filter, by the JVM's footer reader (pyarrow does not show them)."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, spark._jsc.hadoopConfiguration())
-    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
-    try:
-        found = set()
-        for block in reader.getFooter().getBlocks():
-            for column in block.getColumns():
-                if column.getBloomFilterOffset() >= 0:
-                    found.add(column.getPath().toDotString())
-        return found
-    finally:
-        reader.close()
-
-
-def bloom_columns_of_all(spark: SparkSession, files: list[str]) -> set[str]:
-    """Columns that have a Bloom filter in every one of the files; read on the driver, until no column is left."""
-    common: set[str] | None = None
-    for file in files:
-        own = bloom_columns(spark, file)
-        common = own if common is None else common & own
-        if not common:
-            break
-    return common or set()
+def bloom_columns(spark: SparkSession, path: str) -> set[str]:
+    """Top-level columns with a Bloom filter in every row group of every file."""
+    return {r["top"] for r in column_rollup(column_chunks(spark, path)).where("all_bloom").select("top").collect()}
+
+
+#: Rows of a section of file_info that are brought to the driver.
+SECTION_ROWS = 10_000
 
 
 def file_info(spark: SparkSession, path: str) -> dict:
-    """All that the footers say of a path, section by section; a section that fails is absent and its error kept under "errors"."""
+    """What the footers say of a path, section by section; a section that fails is absent and its error kept under "errors".
+
+    Of each section the first SECTION_ROWS rows are shown, and "truncated" names those that have more.
+    """
     sections = {"files": file_meta, "kv": kv_meta, "row_groups": lambda s, p: with_share(row_groups(s, p)), "columns": lambda s, p: column_rollup(column_chunks(s, p)), "schema": schema_nodes}
-    out: dict = {"errors": {}}
+    out: dict = {"errors": {}, "truncated": []}
     for name, read in sections.items():
         try:
-            out[name] = [r.asDict() for r in read(spark, path).collect()]
+            rows = [r.asDict() for r in read(spark, path).limit(SECTION_ROWS + 1).collect()]
+            out[name] = rows[:SECTION_ROWS]
+            out["truncated"] += [name] if len(rows) > SECTION_ROWS else []
         except Exception as e:  # noqa: BLE001  whatever it is, the other sections can still be shown
             out["errors"][name] = str(e)
     return out

@@ -1,14 +1,16 @@
 import datetime as dt
 import uuid
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lithoscope.functions.types import LogicalType, integer, parse_type
 from lithoscope.operators.storage import rewrite, rules, sortkeys
 from lithoscope.operators.storage.advise import advise
-from lithoscope.operators.storage.probes import is_sorted, probes
+from lithoscope.operators.storage.probes import is_sorted, probes, sorted_columns
 from lithoscope.plans.grid import logical_types
 from lithoscope.sources import footer
 from lithoscope.sources.catalog import Catalog, read_source
@@ -117,7 +119,7 @@ def test_footers(spark, folder):
     assert [r.top for r in footer.categorical_candidates(chunks).collect()] == ["s"]
     kv = {r.key: r.value for r in footer.kv_meta(spark, path).collect()}
     assert footer.arrow_schema(kv["ARROW:schema"]).names == ["a", "n", "s"]
-    assert footer.schema_nodes(spark, path).count() == 4
+    assert footer.schema_nodes(spark, path).where("num_children is null").count() == 4
     info = footer.file_info(spark, path)
     assert info["errors"] == {} and len(info["row_groups"]) == 4 and len(info["columns"]) == 3
 
@@ -181,8 +183,7 @@ def test_plan_notes_bloom_and_script(spark, folder):
     df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), (i % 10,)) for i in range(5000)], "id long, ts timestamp_ntz, ms timestamp_ntz, s struct<a: bigint>")
     target = f"file://{folder}/bloom"
     rewrite.write(rewrite.transformed(df, plan, logical_types(df)), plan, target, partitions=1)
-    file = footer.files_of(spark, target)[0]
-    assert footer.bloom_columns(spark, file) == {"id"}
+    assert footer.bloom_columns(spark, target) == {"id"}
     groups = footer.row_groups(spark, target).collect()
     assert max(g.num_rows for g in groups) <= 500
     assert rewrite.Report(400, 1000, 1, 1).saved_bytes == -600 and rewrite.Report(0, 1, 1, 1).saved_percent == 0
@@ -204,3 +205,90 @@ def test_bloom_advice_looks_at_every_file(spark, folder):
     df.write.options(**{"parquet.bloom.filter.enabled#id": "true"}).parquet(f"{target}/part=1")
     df.limit(0).write.parquet(f"{target}/part=2")
     assert {s.id for s in advise(spark, target, f"file://{folder}/scratch-blooms") if s.category == "bloom"} == {"bloom:other"}
+
+
+def test_footers_agree_with_another_reader(spark, folder):
+    """Every node, chunk, row group and file as DuckDB's functions show them, for nested columns, filters and several groups."""
+    rows = 900
+    table = pa.table({
+        "id": range(rows), "f": pa.array([i / 3 if i % 5 else None for i in range(rows)], pa.float32()), "s": [f"v{i % 7}" for i in range(rows)], "d": pa.array([dt.date(2024, 1, 1 + i % 28) for i in range(rows)]),
+        "n": pa.array([{"a": i, "inner": {"x": [i, None]}} for i in range(rows)]), "m": pa.array([[("k", i)] for i in range(rows)], pa.map_(pa.string(), pa.int32())), "dec": pa.array([i for i in range(rows)], pa.decimal128(9, 2)), "u": pa.array(range(rows), pa.uint32()),
+    })
+    path = put(folder, "tree", table, row_group_size=200, compression={"id": "zstd", "f": "gzip"})
+    spark.range(5000).selectExpr("id", "id % 3 as few").coalesce(1).write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{folder}/filtered")
+    filtered = next(str(p) for p in (folder / "filtered").glob("*.parquet"))
+    with duckdb.connect() as db:
+        for file in (path, filtered):
+            got = [(r.name, r.physical, r.length, r.repetition, r.num_children, r.converted, r.scale, r.precision, r.field_id) for r in footer.schema_nodes(spark, file).orderBy("ordinal").collect()]
+            want = db.sql(f"SELECT name, type, type_length, repetition_type, num_children, converted_type, scale, precision, field_id FROM parquet_schema('{file}')").fetchall()
+            plain = lambda rows: [tuple(int(v) if isinstance(v, str) and v.isdigit() else v or None for v in r) for r in rows]
+            assert plain(got) == plain(want)
+            got = {r.top: (r.codecs, r.compressed, r.uncompressed, r.num_values, r.any_bloom, r.all_bloom) for r in footer.column_rollup(footer.column_chunks(spark, file)).collect()}
+            want = db.sql(f"SELECT split_part(path_in_schema, ',', 1), string_agg(DISTINCT compression, ', '), sum(total_compressed_size)::BIGINT, sum(total_uncompressed_size)::BIGINT, sum(num_values)::BIGINT, bool_or(bloom_filter_offset IS NOT NULL), bool_and(bloom_filter_offset IS NOT NULL) FROM parquet_metadata('{file}') GROUP BY 1").fetchall()
+            for top, *values in want:
+                if top in got:
+                    assert got[top] == tuple(values), top
+            assert {c for c in got} >= {"id"} and got["id"][4] is (file == filtered)
+            groups = db.sql(f"SELECT row_group_id, any_value(row_group_num_rows), sum(total_compressed_size)::BIGINT FROM parquet_metadata('{file}') GROUP BY 1 ORDER BY 1").fetchall()
+            assert [(r.row_group, r.num_rows, r.compressed) for r in footer.row_groups(spark, file).orderBy("row_group").collect()] == groups
+            meta = db.sql(f"SELECT created_by, num_rows, num_row_groups, footer_size FROM parquet_file_metadata('{file}')").fetchall()[0]
+            r = footer.file_meta(spark, file).first()
+            assert (r.created_by, r.num_rows, r.num_row_groups) == meta[:3]
+    with pytest.raises(ValueError):
+        footer.raw_footer(__file__)
+
+
+def test_file_info_shows_so_many_rows(spark, folder, monkeypatch):
+    monkeypatch.setattr(footer, "SECTION_ROWS", 2)
+    info = footer.file_info(spark, put(folder, "wide", pa.table({"a": [1], "b": [2], "c": [3]})))
+    assert len(info["columns"]) == 2 and set(info["truncated"]) == {"columns", "schema"} and info["errors"] == {}
+
+
+def test_every_kind_of_rule_shows_in_the_footer(spark, folder):
+    """What a plan claims is what the written file has; what the writer cannot do is a note."""
+    n = 6000
+    df = spark.range(n).selectExpr("id", "id * 3 as down", "id < 5900 as flag", "concat('w', id % 9) as word", "concat('e', id % 4) as kind", "cast(id as double) as x", "xxhash64(id) as looked_up", "cast(id as double) / 7 as wide")
+    rule = lambda kind, name, **more: rules.Suggestion(f"{kind}:{name}", "x", "low", name, "", "", "", rule=rules.Rule(kind, (name,), **more))
+    made = [
+        rule("encoding", "id", encoding="DELTA_BINARY_PACKED"), rule("encoding", "flag", encoding="RLE"), rule("encoding", "x", encoding="DELTA_BINARY_PACKED"), rule("categorical", "word"), rule("enum", "kind", values=("e0",)),
+        rule("bloom", "looked_up"), rule("cast", "wide", ddl="float"), rule("sort", "down"), rule("row_group", "id", rows=1000), rule("compression", "id"),
+    ]
+    types = logical_types(df)
+    plan = rewrite.plan_of(made, rules.actionable(made), types)
+    target = f"file://{folder}/kinds"
+    rewrite.write(rewrite.transformed(df, plan, types), plan, target, partitions=1)
+    used = {r.top: r for r in footer.column_rollup(footer.column_chunks(spark, target)).collect()}
+    assert "DELTA_BINARY_PACKED" in used["id"].encodings and "DICTIONARY" not in used["id"].encodings
+    assert used["flag"].encodings == "RLE" and "DICTIONARY" in used["word"].encodings and "DICTIONARY" in used["kind"].encodings
+    assert [c for c, r in used.items() if r.all_bloom] == ["looked_up"] and {r.codecs for r in used.values()} == {"ZSTD"}
+    assert "DELTA" not in used["x"].encodings and sum("x keeps its encoding" in note or "kind stays text" in note for note in plan.notes) == 2
+    again = spark.read.parquet(target)
+    assert dict(again.dtypes)["wide"] == "float" and max(r.num_rows for r in footer.row_groups(spark, target).collect()) == 1000 and is_sorted(again, "down").first().sorted
+    assert rewrite.remarks(plan)[-2:] == tuple(plan.notes) and "parquet.enable.dictionary#word" in rewrite.script(plan, "a", "b")
+
+
+def test_order_of_many_columns_in_one_scan(spark, folder):
+    path = f"file://{folder}/many"
+    rows = [(i, i // 3, None if i % 2 else i, -i, None, float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "up long, steps int, holes long, down long, none long, x double").withColumn("dec", F.col("up").cast("decimal(20,2)"))
+    df.coalesce(1).write.option("parquet.block.row.count.limit", "500").parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        stored = spark.read.parquet(path)
+        got = {r.name: r.sorted for r in sorted_columns(stored, stored.columns).collect()}
+        assert got == {"up": True, "steps": True, "holes": True, "down": False, "none": True, "x": True, "dec": True}
+        df.orderBy("x").withColumn("up", F.when(F.col("up") == 1999, -5).otherwise(F.col("up"))).coalesce(1).write.mode("overwrite").option("parquet.block.row.count.limit", "500").parquet(path)
+        assert not is_sorted(spark.read.parquet(path), "up").first().sorted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted_columns(stored, []).count() == 0
+
+
+def test_overlaps_in_the_plan_and_samples_of_so_many_rows(spark, folder):
+    table = pa.table({"a": [i % 100 for i in range(1000)], "b": range(1000), "s": [f"{i // 10:03d}" for i in range(1000)]})
+    found = sortkeys.overlaps(footer.column_chunks(spark, put(folder, "bounds", table, row_group_size=100)))
+    assert found == {"a": 1.0, "b": 0.0, "s": 0.0}
+    df = spark.range(50_000).repartition(5)
+    assert sortkeys.sampled(df, 50_000, 1000).count() == 1000 and sortkeys.sampled(df, 50_000, 60_000).count() == 50_000
+    groups = sortkeys.simulated_groups(df.withColumn("v", -F.col("id")), ["id"], "v", 700).orderBy("rg").collect()
+    assert [(r.rg, r.lo, r.hi) for r in groups] == [(k, -min(49_999, 700 * k + 699), -700 * k) for k in range(-(-50_000 // 700))]
