@@ -46,4 +46,5 @@ def whole_seconds(ts: Column) -> Column:
 
 
 def epoch_ms(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))
+    """Milliseconds since 1970, rounded."""
+    return F.round(F.unix_micros(ts.cast("timestamp")) / 1000).cast("bigint")

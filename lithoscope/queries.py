@@ -6,6 +6,8 @@ Doubles are rounded on both sides; pages are cut from total orders.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,11 +125,12 @@ register(
 
 
 def _scratch(spark: SparkSession) -> str:
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    import uuid
-
+    """A new folder that driver and executors share; on one machine the temporary folder will do."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/lithoscope-scratch-{uuid.uuid4().hex}"
 
 
@@ -156,7 +159,7 @@ for _t, _cs in {"part": ["p_name", "p_brand", "p_type"], "customer": ["c_name",
         " UNION ALL ".join(_TEXT.format(c=c, t=_t) for c in _cs),
         lambda s, d, t=_t, cs=_cs: rounded(profile.describe(table(s, d, t).select(*cs), exact=True)).select("name", "count", "distinct", "min_len", "max_len", "avg_len", "str_min", "str_max"),
     )
-_TIME = "SELECT '{c}' AS name, count(DISTINCT {c}) AS \"distinct\", epoch_us(max({c})) // 1000 - epoch_us(min({c})) // 1000 AS range_ms, bool_and(epoch_us({c}) % 1000000 = 0) AS whole_seconds, bool_and(epoch_us({c}) % 86400000000 = 0) AS midnight, CASE WHEN bool_and(epoch_us({c}) % 86400000000 = 0) THEN 'date-only' WHEN bool_and(epoch_us({c}) % 1000000 = 0) THEN 'second-level' ELSE 'sub-second' END AS granularity FROM {t}"
+_TIME = "SELECT '{c}' AS name, count(DISTINCT {c}) AS \"distinct\", epoch_ms(max({c})) - epoch_ms(min({c})) AS range_ms, bool_and(epoch_us({c}) % 1000000 = 0) AS whole_seconds, bool_and(epoch_us({c}) % 86400000000 = 0) AS midnight, CASE WHEN bool_and(epoch_us({c}) % 86400000000 = 0) THEN 'date-only' WHEN bool_and(epoch_us({c}) % 1000000 = 0) THEN 'second-level' ELSE 'sub-second' END AS granularity FROM {t}"
 register(
     "profile_timestamp",
     " UNION ALL ".join(_TIME.format(c=c, t=t) for t, c in (("orders", "o_orderdate"), ("events", "ts"), ("lineitem", "l_shipdate"))),
@@ -201,9 +204,7 @@ register("hist_timeline", _histogram_sql("orders", "epoch_ms(o_orderdate)::DOUBL
 register(
     "hist_hours",
     "SELECT extract(hour FROM ts)::INTEGER AS bin, count(*) AS n FROM events GROUP BY 1",
-    lambda s, d: profile.histogram(table(s, d, "events").select(F.expr("cast(date_format(ts, 'HH:mm:ss') as time(6))").alias("t")), "t").select("bin", "n")
-    if s.conf.get("spark.sql.timeType.enabled", "false") == "true"
-    else table(s, d, "events").groupBy(F.hour("ts").alias("bin")).agg(F.count(F.lit(1)).alias("n")),
+    lambda s, d: profile.histogram(table(s, d, "events").select(F.expr("cast(date_format(ts, 'HH:mm:ss') as time(6))").alias("t")), "t").select("bin", "n"),
 )
 
 # ---- correlations ---------------------------------------------------------------------------------------
@@ -250,17 +251,85 @@ for _t, _cs in {"lineitem": "*", "conversations": "role, text", "documents": "te
         f"SELECT (SELECT count(*) FROM {_t}) - (SELECT count(*) FROM (SELECT DISTINCT {_cs} FROM {_t})) AS duplicate_rows",
         lambda s, d, t=_t, cs=_cs: quality.duplicate_rows(table(s, d, t) if cs == "*" else table(s, d, t).select(*cs.split(", "))),
     )
-register("dq_issues_documents", None, lambda s, d: quality.issue_frame(table(s, d, "documents"), AS_OF, exact=True))
+#: Columns with every issue that the rules know, as an expression of Spark and of DuckDB alike: name, expression, whether text.
+DIRTY = [
+    ("all_null", "CAST(NULL AS STRING)", True),
+    ("some_null", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('v', CAST(o_orderkey AS STRING)) END", True),
+    ("few_null", "CASE WHEN o_orderkey % 25 = 0 THEN NULL ELSE concat('v', CAST(o_orderkey % 90 AS STRING)) END", True),
+    ("empties", "CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN '   ' ELSE 'x' END", True),
+    ("stand_ins", "CASE WHEN o_orderkey % 8 = 0 THEN 'N/A' WHEN o_orderkey % 8 = 1 THEN ' TBD ' ELSE 'given' END", True),
+    ("padded", "CASE WHEN o_orderkey % 11 = 0 THEN ' a ' ELSE concat('b', CAST(o_orderkey % 7 AS STRING)) END", True),
+    ("cased", "CASE WHEN o_orderkey % 2 = 0 THEN 'Active' ELSE 'active' END", True),
+    ("numbers", "CASE WHEN o_orderkey % 20 = 0 THEN 'n.a.x' ELSE CAST(o_orderkey % 50 AS STRING) END", True),
+    ("documents", "CASE WHEN o_orderkey % 9 = 0 THEN '{bad' ELSE concat('{\"k\": ', CAST(o_orderkey % 5 AS STRING), '}') END", True),
+    ("constant", "'same'", True),
+    ("near_key", "CASE WHEN o_orderkey % 40 = 0 THEN 0 ELSE o_orderkey END", False),
+    ("plain", "o_orderkey % 10", False),
+]
+
+
+def _dirty(s: SparkSession, d: str) -> DataFrame:
+    """DIRTY over orders, with a time column, and every hundredth row twice."""
+    rows = table(s, d, "orders").selectExpr("o_orderkey % 100 = 0 AS again", *[f"{x} AS {n}" for n, x, _ in DIRTY], "o_orderdate AS stamp")
+    return rows.unionByName(rows.where("again")).drop("again")
+
+
+_DIRTY_SQL = f"dirty AS (SELECT {', '.join(f'{x} AS {n}' for n, x, _ in DIRTY)}, o_orderdate AS stamp FROM orders, unnest(CASE WHEN o_orderkey % 100 = 0 THEN [1, 2] ELSE [1] END) AS r(i))"
+
+
+def _issues_sql() -> str:
+    """The rules of issues in SQL: one SELECT per column and rule."""
+    text = f"""count_if(trim({{c}}) = '') AS blank, count_if({{c}} = '') AS empty, count_if({{c}} <> trim({{c}})) AS untrimmed, count(DISTINCT lower({{c}})) AS folded,
+ count_if(trim({{c}}) <> '' AND try_cast(trim({{c}}) AS DOUBLE) IS NOT NULL) AS num, count_if(trim({{c}}) LIKE '{{{{%' OR trim({{c}}) LIKE '[%') AS js, count_if((trim({{c}}) LIKE '{{{{%' OR trim({{c}}) LIKE '[%') AND NOT json_valid({{c}})) AS ji,
+ count_if(lower(trim({{c}})) IN ({_TOKENS})) AS ph, 0 AS late"""
+    plain = "0 AS blank, 0 AS empty, 0 AS untrimmed, count(DISTINCT {c}) AS folded, 0 AS num, 0 AS js, 0 AS ji, 0 AS ph, 0 AS late"
+    time = plain.replace("0 AS late", "count_if({c} > TIMESTAMP '2000-01-01') AS late")
+    rules = [
+        ("completeness", "all-null", "'high'", "nulls", "total > 0 AND n = 0"),
+        ("completeness", "null", "CASE WHEN nulls >= 0.5 * total THEN 'high' WHEN nulls >= 0.2 * total THEN 'medium' ELSE 'low' END", "nulls", "n > 0 AND nulls >= 0.05 * total"),
+        ("completeness", "empty", "CASE WHEN empty >= 0.2 * n THEN 'medium' ELSE 'low' END", "empty", "empty > 0"),
+        ("completeness", "whitespace", "'low'", "blank - empty", "blank > empty"),
+        ("completeness", "placeholder", "CASE WHEN ph >= 0.2 * n THEN 'medium' ELSE 'low' END", "ph", "ph > 0"),
+        ("validity", "untrimmed", "CASE WHEN untrimmed - (blank - empty) >= 0.1 * n THEN 'medium' ELSE 'low' END", "untrimmed - (blank - empty)", "untrimmed > blank - empty"),
+        ("validity", "case", "'medium'", "NULL", "d > folded"),
+        ("validity", "numeric-cast", "'medium'", "n - blank - num", "n - blank >= 10 AND num >= 0.9 * (n - blank) AND num < n - blank"),
+        ("validity", "json", "'medium'", "ji", "ji > 0 AND n - blank >= 10 AND js >= 0.8 * (n - blank)"),
+        ("validity", "future", "CASE WHEN late >= 0.05 * n THEN 'medium' ELSE 'low' END", "late", "late > 0"),
+        ("uniqueness", "constant", "'medium'", "NULL", "d = 1"),
+        ("uniqueness", "near-key", "'medium'", "n - d", "n > 20 AND nulls = 0 AND d >= 0.95 * n AND d < n"),
+    ]
+    columns = [(n, text if is_text else plain) for n, _, is_text in DIRTY] + [("stamp", time)]
+    metrics = " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS total, count({c}) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS d, {more.format(c=c)} FROM dirty" for c, more in columns)
+    found = " UNION ALL ".join(f"SELECT name AS column, '{dim}' AS dimension, '{code}' AS code, {severity} AS severity, ({bad})::BIGINT AS bad FROM metrics WHERE {where}" for dim, code, severity, bad, where in rules)
+    same = "SELECT '(whole row)', 'uniqueness', 'duplicate', CASE WHEN k >= 0.05 * total THEN 'high' ELSE 'medium' END, k FROM (SELECT count(*) AS total, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS k FROM dirty) WHERE k > 0"
+    return f"WITH {_DIRTY_SQL}, metrics AS ({metrics}), issues AS ({found} UNION ALL {same})"
+
 
+register("dq_issues", f"{_issues_sql()} SELECT * FROM issues", lambda s, d: quality.issue_frame(_dirty(s, d), AS_OF, exact=True))
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
-    found = quality.assess(table(s, d, "lineitem"), as_of=AS_OF, exact=True)
+    found = quality.assess(_dirty(s, d), as_of=AS_OF, exact=True)
     rows = [*found["dimensions"].items(), ("overall", found["score"])]
     return s.createDataFrame(rows, "dimension string, score int")
 
 
-register("dq_scores_lineitem", None, _scores)
+register(
+    "dq_scores",
+    f"""{_issues_sql()},
+b AS (SELECT dimension, sum(coalesce(bad, 0)) AS bad FROM issues GROUP BY 1),
+t AS (SELECT max(total) AS total, sum(total) AS cells, sum(n) AS filled, count_if(n > 0 AND d = 1) AS constants FROM metrics),
+k AS (SELECT count_if(code = 'case') AS cased, count_if(code = 'near-key') AS near_keys, coalesce(max(bad) FILTER (code = 'duplicate'), 0) AS copies FROM issues),
+age AS (SELECT epoch(TIMESTAMP '2000-01-01') / 86400 - epoch_ms(max(stamp)) / 86400000 AS days FROM dirty),
+raw AS (
+  SELECT 'completeness' AS dimension, 0.35 AS weight, 100 * (1 - (SELECT bad FROM b WHERE dimension = 'completeness') / cells) AS x FROM t
+  UNION ALL SELECT 'validity', 0.35, 100 * (1 - (SELECT bad FROM b WHERE dimension = 'validity') / filled) - least(15, 5 * cased) FROM t, k
+  UNION ALL SELECT 'uniqueness', 0.2, 100 - least(45, 220 * copies / total) - least(25, 5 * constants) - least(15, 5 * near_keys) FROM t, k
+  UNION ALL SELECT 'freshness', 0.1, CASE WHEN days <= 7 THEN 100 ELSE greatest(50, 100 - (days - 7) * 50 / 723) END FROM age),
+s AS (SELECT dimension, weight, least(100, greatest(0, floor(x + 0.5)))::INTEGER AS score FROM raw)
+SELECT dimension, score FROM s UNION ALL SELECT 'overall', floor(sum(weight * score) / sum(weight) + 0.5)::INTEGER FROM s""",
+    _scores,
+)
 
 
 def _tally(s: SparkSession, d: str) -> DataFrame:
@@ -291,12 +360,38 @@ for _t, _cs in _ANOMALY.items():
 
 
 
+#: Numeric columns with every flag, as expressions of Spark and of DuckDB alike.
+ODD_NUMBERS = {
+    "spread": "value",
+    "mostly_zero": "CASE WHEN event_id % 10 < 8 THEN 0.0 ELSE value END",
+    "rarely_negative": "CASE WHEN event_id % 500 = 0 THEN -1.0 ELSE 1.0 + event_id % 17 END",
+    "far_out": "CASE WHEN event_id % 300 = 0 THEN 1000000.0 WHEN event_id % 300 = 1 THEN -1000000.0 ELSE event_id % 29 + 0.5 END",
+    "often_out": "CASE WHEN event_id % 8 = 0 THEN 500.0 ELSE event_id % 20 + 0.0 END",
+    "same": "7.0",
+    "missing": "CAST(NULL AS DOUBLE)",
+}
+
+
 def _flags_of(s: SparkSession, d: str) -> DataFrame:
-    _, flags = anomalies.anomalies(table(s, d, "events"), exact=True)
+    odd = table(s, d, "events").selectExpr(*[f"CAST({x} AS DOUBLE) AS {n}" for n, x in ODD_NUMBERS.items()])
+    _, flags = anomalies.anomalies(odd, exact=True)
     return s.createDataFrame([(f.column, f.severity, f.code) for f in flags], "column string, severity string, code string")
 
 
-register("anomaly_flags_events", None, _flags_of)
+_ODD_STATS = " UNION ALL ".join(
+    f"SELECT '{n}' AS name, count(x) AS n, min(x) AS low, max(x) AS high, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.75) AS p75, count_if(x = 0) AS zeros, count_if(x < 0) AS negatives, list(x) AS xs FROM (SELECT ({e})::DOUBLE AS x FROM events)" for n, e in ODD_NUMBERS.items()
+)
+register(
+    "anomaly_flags",
+    f"""WITH s AS ({_ODD_STATS}),
+f AS (SELECT * EXCLUDE (xs), p75 - p25 AS iqr, CASE WHEN p75 > p25 THEN len(list_filter(xs, lambda x: x < p25 - 1.5 * (p75 - p25) OR x > p75 + 1.5 * (p75 - p25))) ELSE 0 END AS outside FROM s WHERE n > 0 AND low < high)
+SELECT name AS column, CASE WHEN outside >= 0.1 * n THEN 'high' WHEN outside >= 0.02 * n THEN 'medium' ELSE 'low' END AS severity, 'outliers' AS code FROM f WHERE outside > 0
+UNION ALL SELECT name, 'medium', 'zeros' FROM f WHERE zeros >= 0.7 * n
+UNION ALL SELECT name, 'low', 'negatives' FROM f WHERE negatives > 0 AND negatives < 0.01 * n
+UNION ALL SELECT name, 'medium', 'extreme' FROM f WHERE iqr > 0 AND high > p75 + 6 * iqr
+UNION ALL SELECT name, 'medium', 'extreme' FROM f WHERE iqr > 0 AND low < p25 - 6 * iqr""",
+    _flags_of,
+)
 
 # ---- storage probes -------------------------------------------------------------------------------------
 
@@ -351,15 +446,46 @@ def _footer(kind: str, *args):
 def _rollup(s: SparkSession, d: str) -> DataFrame:
     from .sources import footer
 
-    return footer.column_rollup(footer.column_chunks(s, f"{d}/lineitem.parquet")).select("top", "codecs", "num_values", "nulls")
+    return footer.column_rollup(footer.column_chunks(s, f"{d}/lineitem.parquet")).select("top", "codecs", "compressed", "uncompressed", "num_values", "nulls", "any_bloom")
 
 
-register("footer_rollup", "SELECT column_name AS top, 'SNAPPY' AS codecs, n AS num_values, 0::BIGINT AS nulls FROM (SELECT unnest(['" + "', '".join("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()) + "']) AS column_name), (SELECT count(*) AS n FROM lineitem)", _rollup)
-register("footer_row_groups", "SELECT 0::INTEGER AS row_group, count(*) AS num_rows FROM orders", lambda s, d: _footer("row_groups", "orders")(s, d).select("row_group", "num_rows"))
-register("footer_file", "SELECT count(*) AS num_rows, 1::INTEGER AS num_row_groups, 5::INTEGER AS num_columns FROM documents", lambda s, d: _footer("file_meta", "documents")(s, d).select("num_rows", "num_row_groups", "num_columns"))
-register("footer_summary", "SELECT count(*) AS num_rows, 1::BIGINT AS num_row_groups, 'SNAPPY' AS codecs, false AS nested, 6::BIGINT AS num_columns FROM events", lambda s, d: _footer("file_summary", "events")(s, d).select("num_rows", "num_row_groups", "codecs", "nested", "num_columns"))
-register("footer_schema", None, _footer("schema_nodes", "lineitem"))
-register("footer_kv", None, _footer("kv_meta", "lineitem"))
+def _read_by_duckdb(t: str, sql: str, function: str = "parquet_metadata") -> str:
+    """SQL over DuckDB's own reading of the footer of a table's file: of the scales' files the one with the table's rows."""
+    files = f"/root/testdata/sf0*/{t}.parquet"
+    chosen = f"SELECT file_name FROM parquet_file_metadata('{files}') WHERE num_rows = (SELECT count(*) FROM {t})"
+    return sql.format(footer=f"(SELECT * FROM {function}('{files}') WHERE file_name IN ({chosen}))")
+
+
+register(
+    "footer_rollup",
+    _read_by_duckdb("lineitem", "SELECT path_in_schema AS top, string_agg(DISTINCT compression, ', ') AS codecs, sum(total_compressed_size)::BIGINT AS compressed, sum(total_uncompressed_size)::BIGINT AS uncompressed, sum(num_values)::BIGINT AS num_values, sum(stats_null_count)::BIGINT AS nulls, bool_or(bloom_filter_offset IS NOT NULL) AS any_bloom FROM {footer} GROUP BY 1"),
+    _rollup,
+)
+register(
+    "footer_row_groups",
+    _read_by_duckdb("orders", "SELECT row_group_id::INTEGER AS row_group, any_value(row_group_num_rows) AS num_rows, sum(total_compressed_size)::BIGINT AS compressed FROM {footer} GROUP BY 1"),
+    lambda s, d: _footer("row_groups", "orders")(s, d).select("row_group", "num_rows", "compressed"),
+)
+register(
+    "footer_file",
+    _read_by_duckdb("documents", "SELECT created_by, num_rows, num_row_groups::INTEGER AS num_row_groups FROM {footer}", "parquet_file_metadata"),
+    lambda s, d: _footer("file_meta", "documents")(s, d).select("created_by", "num_rows", "num_row_groups"),
+)
+register(
+    "footer_summary",
+    _read_by_duckdb("events", "SELECT (SELECT count(*) FROM events) AS num_rows, count(DISTINCT row_group_id) AS num_row_groups, string_agg(DISTINCT compression, ', ') AS codecs, sum(total_compressed_size)::BIGINT AS compressed, bool_or(contains(path_in_schema, ', ')) AS nested, count(DISTINCT path_in_schema) AS num_columns FROM {footer}"),
+    lambda s, d: _footer("file_summary", "events")(s, d).select("num_rows", "num_row_groups", "codecs", "compressed", "nested", "num_columns"),
+)
+register(
+    "footer_schema",
+    _read_by_duckdb("embeddings", "SELECT DISTINCT name, type AS physical, repetition_type AS repetition, num_children::INTEGER AS num_children, converted_type AS converted FROM {footer}", "parquet_schema"),
+    lambda s, d: _footer("schema_nodes", "embeddings")(s, d).select("name", "physical", "repetition", "num_children", "converted"),
+)
+register(
+    "footer_kv",
+    _read_by_duckdb("lineitem", "SELECT decode(key) AS key, md5(decode(value)) AS value FROM {footer}", "parquet_kv_metadata"),
+    lambda s, d: _footer("kv_meta", "lineitem")(s, d).select("key", F.md5("value").alias("value")),
+)
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
@@ -381,6 +507,53 @@ def _advice(s: SparkSession, d: str) -> DataFrame:
 register("optimize_lineitem", None, _advice)
 
 
+#: Columns that ask for another type, as expressions of Spark and of DuckDB: name, Spark's, DuckDB's or None where it is the same, the suggestion and its severity in SQL (None: no suggestion).
+ASKING = [
+    ("narrow", "o_orderkey % 50", None, "CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'INT8' END", "'high'"),
+    ("middle", "o_orderkey % 30000 + 100", None, "CASE WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'INT16' END", "'high'"),
+    ("below", "CAST(o_orderkey % 100000 AS BIGINT) - 50000", None, "CASE WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'INT16' WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'INT32' END", "CASE WHEN min({c}) >= -32768 THEN 'high' ELSE 'medium' END"),
+    ("wide", "o_orderkey * 5000000000", None, None, None),
+    ("whole", "CAST(o_orderkey % 200 AS DOUBLE)", None, "CASE WHEN bool_and({c} = trunc({c})) AND max({c}) > 127 AND max({c}) <= 255 THEN 'UINT8' END", "'high'"),
+    ("halves", "CAST(o_orderkey AS DOUBLE) / 2", None, "CASE WHEN bool_and({c} = {c}::FLOAT::DOUBLE) THEN 'FLOAT' END", "'medium'"),
+    ("price", "o_totalprice", None, None, None),
+    ("uid", "concat('0f8fad5b-d9cb-469f-a165-70867728', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0'))", None, "CASE WHEN bool_and(regexp_full_match({c}, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}')) THEN 'UUID' END", "'medium'"),
+    ("digits", "CAST(o_orderkey % 60000 AS STRING)", None, "CASE WHEN bool_and(regexp_full_match({c}, '[+-]?[0-9]+')) THEN CASE WHEN max({c}::BIGINT) <= 127 THEN 'INT8' WHEN max({c}::BIGINT) <= 255 THEN 'UINT8' WHEN max({c}::BIGINT) <= 32767 THEN 'INT16' ELSE 'UINT16' END END", "'high'"),
+    ("truth", "CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'No' END", None, "CASE WHEN bool_and(lower({c}) IN ('yes', 'no')) THEN 'BOOLEAN' END", "'high'"),
+    ("day_text", "date_format(o_orderdate, 'yyyy-MM-dd')", "strftime(o_orderdate, '%Y-%m-%d')", "CASE WHEN bool_and(try_cast({c} AS DATE) IS NOT NULL) THEN 'DATE' END", "'high'"),
+    ("time_text", "date_format(o_orderdate + INTERVAL 1 HOUR, 'yyyy-MM-dd HH:mm:ss')", "strftime(o_orderdate + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S')", "CASE WHEN bool_and(try_cast({c} AS TIMESTAMP) IS NOT NULL) THEN 'TIMESTAMP(MICROS)' END", "'high'"),
+    ("number_text", "concat(CAST(o_orderkey AS STRING), '.5')", None, "CASE WHEN bool_and(try_cast({c} AS DOUBLE) IS NOT NULL) THEN 'DOUBLE' END", "'high'"),
+    ("json_text", "concat('{\"k\": ', CAST(o_orderkey AS STRING), '}')", None, "CASE WHEN bool_and(json_valid({c})) THEN 'JSON' END", "'low'"),
+    ("few_texts", "o_orderpriority", None, "CASE WHEN count(DISTINCT {c}) < 100 AND count({c}) >= 10 * count(DISTINCT {c}) THEN 'ENUM' END", "'medium'"),
+    ("same_length", "concat('K', lpad(CAST(o_orderkey AS STRING), 9, '0'), 'Z')", None, "CASE WHEN min(length({c})) = max(length({c})) THEN 'FIXED_LEN_BYTE_ARRAY(' || min(length({c})) || ')' END", "'low'"),
+    ("midnight", "o_orderdate", None, "CASE WHEN bool_and(epoch_us({c}) % 86400000000 = 0) THEN 'DATE' END", "'high'"),
+    ("millis", "o_orderdate + INTERVAL 1 HOUR", None, "CASE WHEN bool_and(epoch_us({c}) % 1000 = 0) THEN 'TIMESTAMP(MILLIS)' END", "'low'"),
+    ("amount", "CAST(o_orderkey % 1000 AS DECIMAL(18,2))", None, "CASE WHEN max(abs({c})) < 1000 THEN 'DECIMAL(5, 2)' END", "'low'"),
+]
+
+
+def _types_asked(s: SparkSession, d: str) -> DataFrame:
+    """What the type rules suggest for ASKING."""
+    from .operators.storage import rules
+
+    rows = table(s, d, "orders").selectExpr(*[f"{x} AS {n}" for n, x, *_ in ASKING])
+    types = grid.logical_types(rows)
+    found = {r["name"]: r.asDict() for r in probes.probes(rows, types, exact=True).collect()}
+    made = []
+    for path, t in probes.targets(types):
+        few = grid.categories(rows, path[0]) if t.kind == "STRING" and rules.low_cardinality(found[path[0]]) else None
+        made += filter(None, [rules.type_suggestion(path, t, found[path[0]], None, few)])
+    return s.createDataFrame([(x.column, x.suggested, x.severity) for x in made], "column string, suggested string, severity string")
+
+
+register(
+    "type_rules",
+    f"WITH asking AS (SELECT {', '.join(f'{y or x} AS {n}' for n, x, y, _, _ in ASKING)} FROM orders), found AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS column, {suggested.format(c=n)} AS suggested, {severity.format(c=n)} AS severity FROM asking" for n, _, _, suggested, severity in ASKING if suggested)
+    + ") SELECT * FROM found WHERE suggested IS NOT NULL",
+    _types_asked,
+)
+
+
 def _rewritten(s: SparkSession, d: str) -> DataFrame:
     from .operators.storage import rewrite, rules
 

@@ -171,6 +171,7 @@ class Catalog:
         return self.results[alias, kind]
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, of exactly the rows given."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
+    """CSV files with a header each, of exactly the rows given, one per task; ``single``: one file, gathered after a shuffle, so that the rows are still made in parallel."""
+    out = df.repartition(1) if single else df
+    out.write.mode("overwrite").option("header", True).csv(path)
