@@ -1,12 +1,14 @@
 """Open Parquet sources: reading with a schema built from the footer, aliases, views, closing.
 
-One column that Spark cannot infer makes a whole file unreadable, so the schema is built from the footer:
+One column that Spark cannot infer makes a whole file unreadable, so the schema is built from the footers of all files:
 UUID, INTERVAL and zoned TIME are read as their raw bytes or numbers and decoded, nanosecond timestamps as
-numbers, and columns that cannot be carried at all (16-bit floats) are left out and reported.
+numbers, and columns that cannot be carried at all (16-bit floats, types that differ between files) are left out
+and reported.  Columns that only some files have are null elsewhere, and reported too.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.types import LogicalType, from_spark
 from ..plans.grid import column
-from .footer import files_of, open_footer
+from .footer import metadata, read_footers
 
 EXTENSIONS = (".parquet", ".pq")
 UNITS = {"s": "MILLIS", "ms": "MILLIS", "us": "MICROS", "ns": "NANOS"}
@@ -86,24 +88,62 @@ class Source:
     display_name: str = ""
 
 
-def read_source(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, LogicalType], dict[str, str]]:
-    """The rows of a Parquet path with a schema from its first footer, the logical types, and unreadable columns with reasons."""
-    meta = open_footer(files_of(spark, path)[0])
-    arrow = meta.schema.to_arrow_schema()
+def _fields(file: str, raw: bytes):
+    """One row: the file's columns as (name, Spark's type or None, logical type, Arrow's type), encoded."""
+    meta = metadata(raw)
     leaves = {meta.schema.column(i).path: meta.schema.column(i) for i in range(meta.num_columns)}
-    fields, types, missing = [], {}, {}
-    for f in arrow:
-        leaf = leaves.get(f.name)
+    found = []
+    for f in meta.schema.to_arrow_schema():
+        leaf, arrow = leaves.get(f.name), getattr(f.type, "storage_type", f.type)
         stated = str(leaf.logical_type.type) if leaf is not None and leaf.logical_type else "NONE"
         if leaf is not None and stated == "NONE" and leaf.converted_type in ("INTERVAL", "JSON", "BSON", "ENUM"):
             stated = leaf.converted_type
-        dt = T.TimestampType() if leaf is not None and leaf.physical_type == "INT96" else T.BinaryType() if stated in ("UUID", "INTERVAL") else _spark_type(getattr(f.type, "storage_type", f.type))
-        if dt is None:
-            missing[f.name] = f"Spark cannot read {f.type}"
-            continue
-        fields.append(T.StructField(f.name, dt))
-        kind = LogicalType("INT96") if leaf is not None and leaf.physical_type == "INT96" else _logical(getattr(f.type, "storage_type", f.type), stated)
-        types[f.name] = kind or from_spark(dt)
+        legacy = leaf is not None and leaf.physical_type == "INT96"
+        dt = T.TimestampType() if legacy else T.BinaryType() if stated in ("UUID", "INTERVAL") else _spark_type(arrow)
+        kind = None if dt is None else LogicalType("INT96") if legacy else _logical(arrow, stated) or from_spark(dt)
+        found.append((f.name, dt, kind, str(f.type)))
+    yield file, pickle.dumps(found)
+
+
+#: Pairs of Spark's types of which the reader widens the first to the second.
+_WIDER = [("tinyint", "smallint"), ("tinyint", "int"), ("smallint", "int"), ("tinyint", "bigint"), ("smallint", "bigint"), ("int", "bigint"), ("float", "double"), ("tinyint", "double"), ("smallint", "double"), ("int", "double")]
+
+
+def _merged(schemas: list[list[tuple]], files: list[int]) -> tuple[list[T.StructField], dict[str, LogicalType], dict[str, str]]:
+    """One schema for files of several: fields, logical types, and what is to be reported.  files: how many have each."""
+    fields: dict[str, T.DataType] = {}
+    types: dict[str, LogicalType] = {}
+    report: dict[str, str] = {}
+    holders: dict[str, int] = {}
+    for schema, n in zip(schemas, files, strict=True):
+        for name, dt, kind, shown in schema:
+            holders[name] = holders.get(name, 0) + n
+            if dt is None:
+                report[name] = f"Spark cannot read {shown}"
+            elif name not in fields:
+                fields[name], types[name] = dt, kind
+            elif fields[name] != dt or types[name] != kind:
+                old, new = fields[name].simpleString(), dt.simpleString()
+                if (old, new) in _WIDER:
+                    fields[name], types[name] = dt, kind
+                elif (new, old) not in _WIDER:
+                    report[name] = f"files differ in its type: {old} and {new}" if old != new else f"files differ in its type: {types[name].kind} and {kind.kind}"
+    total = sum(files)
+    for name, n in holders.items():
+        if n < total and name not in report:
+            report[name] = f"{total - n:,} of {total:,} files lack it: null there"
+    kept = [n for n in fields if n not in report or "lack it" in report[n]]
+    return [T.StructField(n, fields[n]) for n in kept], {n: types[n] for n in kept}, report
+
+
+def read_source(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, LogicalType], dict[str, str]]:
+    """The rows of a Parquet path with a schema from all footers, the logical types, and columns that are left out or partly absent, with reasons.
+
+    Footers are read by tasks; each distinct schema comes to the driver once.
+    """
+    seen = read_footers(spark, path, _fields, "file string, fields binary").groupBy("fields").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("n"))
+    rows = sorted(seen.collect(), key=lambda r: r["file"])
+    fields, types, missing = _merged([pickle.loads(bytes(r["fields"])) for r in rows], [r["n"] for r in rows])
     df = spark.read.schema(T.StructType(fields)).parquet(path)
     shown = []
     for f in fields:

@@ -142,7 +142,8 @@ def _nodes(file: str, raw: bytes):
             yield file, i, *node, str(c.logical_type.type) if c.logical_type else "NONE", c.max_definition_level, c.max_repetition_level
 
 
-def _read(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
+def read_footers(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
+    """The rows that rows_of(file, encoded footer) gives for every file, read by tasks."""
     import pandas as pd
 
     files = files_of(spark, path)
@@ -169,28 +170,28 @@ def _split(schema: str) -> list[str]:
 
 def column_chunks(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, row group and leaf column."""
-    return _read(spark, path, _chunks, CHUNKS)
+    return read_footers(spark, path, _chunks, CHUNKS)
 
 
 def row_groups(spark: SparkSession, path: str) -> DataFrame:
     """One row per file and row group: rows, uncompressed and compressed bytes."""
     sizes = column_chunks(spark, path).groupBy("file", "row_group").agg(F.sum("compressed").alias("compressed"))
-    return _read(spark, path, _groups, GROUPS).join(sizes, ["file", "row_group"])
+    return read_footers(spark, path, _groups, GROUPS).join(sizes, ["file", "row_group"])
 
 
 def file_meta(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: writer, rows, groups, format version, footer size."""
-    return _read(spark, path, _files, FILES).drop("kv")
+    return read_footers(spark, path, _files, FILES).drop("kv")
 
 
 def kv_meta(spark: SparkSession, path: str) -> DataFrame:
     """Key-values of each file, as text or hexadecimal."""
-    return _read(spark, path, _files, FILES).select("file", F.explode("kv").alias("kv")).select("file", "kv.key", "kv.value")
+    return read_footers(spark, path, _files, FILES).select("file", F.explode("kv").alias("kv")).select("file", "kv.key", "kv.value")
 
 
 def schema_nodes(spark: SparkSession, path: str) -> DataFrame:
     """One row per node of the schema, groups and the root (whose path is empty) included."""
-    return _read(spark, path, _nodes, NODES)
+    return read_footers(spark, path, _nodes, NODES)
 
 
 def column_rollup(chunks: DataFrame) -> DataFrame:

@@ -292,3 +292,15 @@ def test_overlaps_in_the_plan_and_samples_of_so_many_rows(spark, folder):
     assert sortkeys.sampled(df, 50_000, 1000).count() == 1000 and sortkeys.sampled(df, 50_000, 60_000).count() == 50_000
     groups = sortkeys.simulated_groups(df.withColumn("v", -F.col("id")), ["id"], "v", 700).orderBy("rg").collect()
     assert [(r.rg, r.lo, r.hi) for r in groups] == [(k, -min(49_999, 700 * k + 699), -700 * k) for k in range(-(-50_000 // 700))]
+
+
+def test_files_of_several_schemas(spark, folder):
+    """All columns of all files are read; what differs is reported."""
+    target = folder / "several"
+    target.mkdir()
+    pq.write_table(pa.table({"id": pa.array([1, 2], pa.int32()), "x": ["a", "b"], "t": ["p", "q"]}), target / "a.parquet")
+    pq.write_table(pa.table({"id": pa.array([2**40], pa.int64()), "y": [1.5], "t": [7], "f16": pa.array([1.0], pa.float32()).cast(pa.float16())}), target / "b.parquet")
+    df, types, report = read_source(spark, f"file://{target}")
+    assert sorted((r.id, r.x, r.y) for r in df.collect()) == [(1, "a", None), (2, "b", None), (2**40, None, 1.5)]
+    assert df.columns == ["id", "x", "y"] and types["id"] == integer(64)
+    assert set(report) == {"x", "y", "t", "f16"} and "1 of 2 files" in report["x"] and "differ" in report["t"] and "cannot read" in report["f16"]
