@@ -100,6 +100,12 @@ def histogram(df: DataFrame, name: str, t: LogicalType | None = None, bins: int
     return _binned(df, value, bins, low, high)
 
 
+def histogram_json(df: DataFrame, name: str, t: LogicalType | None = None, bins: int = BINS) -> DataFrame | None:
+    """One row with histogram: the counts of the non-empty bins as one JSON object, by number; None where there is nothing to spread."""
+    made = histogram(df, name, t, bins)
+    return made and made.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bin", "n"))))).alias("histogram"))
+
+
 def charts(df: DataFrame, types: dict[str, LogicalType] | None = None, exact: bool = False) -> dict[str, DataFrame]:
     """A histogram or top values for each column that has any."""
     types = types or logical_types(df)

@@ -146,8 +146,9 @@ class GridState:
 
 
 def top_values(df: DataFrame, name: str, n: int = 10) -> DataFrame:
-    """The n most frequent non-null values (value, c); ties by value."""
-    counts = df.where(column(name).isNotNull()).groupBy(column(name).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    """The n most frequent non-null values (value, c); ties by value.  Nested values are shown as JSON."""
+    shown = F.to_json(column(name)) if df.select(column(name)).dtypes[0][1].startswith(("array", "map", "struct")) else column(name)
+    counts = df.where(column(name).isNotNull()).groupBy(shown.alias("value")).agg(F.count(F.lit(1)).alias("c"))
     return counts.orderBy(F.desc("c"), F.asc("value")).limit(n)
 
 

@@ -207,6 +207,17 @@ register(
     lambda s, d: profile.histogram(table(s, d, "events").select(F.expr("cast(date_format(ts, 'HH:mm:ss') as time(6))").alias("t")), "t").select("bin", "n"),
 )
 
+register(
+    "hist_json",
+    f"SELECT to_json(map_from_entries(list({{'k': bin, 'v': n}} ORDER BY bin)))::VARCHAR AS histogram FROM ({_histogram_sql('lineitem', 'l_quantity', 20)})",
+    lambda s, d: profile.histogram_json(table(s, d, "lineitem"), "l_quantity"),
+)
+register(
+    "topk_nested",
+    "SELECT to_json(value)::VARCHAR AS value, c FROM (SELECT [n_regionkey, n_regionkey % 2] AS value, count(*) AS c FROM nation GROUP BY 1)",
+    lambda s, d: grid.top_values(table(s, d, "nation").select(F.array("n_regionkey", F.col("n_regionkey") % 2).alias("pair")), "pair"),
+)
+
 # ---- correlations ---------------------------------------------------------------------------------------
 
 
@@ -575,13 +586,14 @@ register("rewrite_round_trip", "SELECT * REPLACE (o_orderkey::INTEGER AS o_order
 # ---- console: one query per category of SQL -------------------------------------------------------------
 
 
-def _console(name: str, sql: str, oracle: str | None = None) -> None:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
-            table(s, d, t).createOrReplaceTempView(t)
-        return console.run_sql(s, sql)
+def _views(s: SparkSession, d: str) -> SparkSession:
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        table(s, d, t).createOrReplaceTempView(t)
+    return s
+
 
-    register(f"console_{name}", oracle or sql, run)
+def _console(name: str, sql: str, oracle: str | None = None) -> None:
+    register(f"console_{name}", oracle or sql, lambda s, d: console.run_sql(_views(s, d), sql))
 
 
 _console("join_inner", "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name;", "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -608,6 +620,13 @@ _console(
     "SELECT event_id, (SELECT max_by(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey = user_id AND o_orderdate <= ts) AS order_before FROM events",
 )
 _console("join_range", "SELECT p.p_partkey, count(*) AS n FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_extendedprice BETWEEN p.p_retailprice * 10 AND p.p_retailprice * 30 GROUP BY p.p_partkey")
+_console("star_replace", "SELECT * REPLACE (n_nationkey // 2 AS n_nationkey, upper(n_name) AS n_name) FROM nation")
+_console("star_exclude", "SELECT * EXCLUDE (r_name) FROM region -- a // b", "SELECT * EXCLUDE (r_name) FROM region")
+register(
+    "console_sample",
+    "SELECT 40 AS n, 40 AS distinct_keys",
+    lambda s, d: console.run_sql(_views(s, d), "SELECT * FROM customer USING SAMPLE 40 ROWS").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_distinct("c_custkey").cast("int").alias("distinct_keys")),
+)
 _console("read_parquet", "SELECT count(*) AS n FROM read_parquet('region')", "SELECT count(*) AS n FROM region")
 
 

@@ -82,3 +82,13 @@ def test_console(spark, rows, tmp_path):
     kept.save("b", "SELECT 3")
     kept.delete("b")
     assert console.Snippets(str(tmp_path / "s.json")).saved == {"a": "SELECT 2"}
+
+
+def test_console_dialect():
+    r = console.rewrite
+    assert r("SELECT a // b, 'x // y', \"c // d\" FROM t -- 1 // 2\n;") == "SELECT a  DIV  b, 'x // y', \"c // d\" FROM t -- 1 // 2"
+    assert r("SELECT * EXCLUDE (a, b) FROM t") == "SELECT * EXCEPT (a, b) FROM t" and r("SELECT * exclude a FROM t") == "SELECT * EXCEPT (a) FROM t"
+    assert r("SELECT * REPLACE (f(a, 1) AS a, ')' AS b) FROM t") == "SELECT * EXCEPT (a, b), f(a, 1) AS a, ')' AS b FROM t"
+    assert r("SELECT x FROM t USING SAMPLE 10 ROWS") == "SELECT * FROM (SELECT x FROM t) ORDER BY rand() LIMIT 10"
+    assert r("SELECT x FROM t using sample 5%;") == "SELECT * FROM (SELECT x FROM t) WHERE rand() < 5 / 100.0"
+    assert r("SELECT 'USING SAMPLE 5' FROM t") == "SELECT 'USING SAMPLE 5' FROM t" and r("SELECT * FROM read_parquet('a''b.parquet')") == "SELECT * FROM `a'b.parquet`"
