@@ -61,8 +61,13 @@ _filtered("grid_filter_gte", "orders", {"o_orderdate": Filter("gte", "1996-01-01
 _filtered("grid_filter_between", "lineitem", {"l_discount": Filter("between", "0.03", "0.05")}, "l_discount BETWEEN 0.03::DOUBLE AND 0.05::DOUBLE", LINE)
 _filtered("grid_filter_contains", "customer", {"c_mktsegment": Filter("contains", "UILD")}, "c_mktsegment ILIKE '%UILD%'", ["c_custkey", "c_mktsegment"])
 _filtered("grid_filter_contains_wildcard", "part", {"p_name": Filter("contains", "a%e_")}, "p_name ILIKE '%a%e_%'", ["p_partkey", "p_name"])
-_filtered("grid_filter_is_null", "orders", {"o_orderpriority": Filter("is_null")}, "o_orderpriority IS NULL", ["o_orderkey"])
-_filtered("grid_filter_is_not_null", "events", {"props": Filter("is_not_null")}, "props IS NOT NULL", ["event_id"])
+_HOLES = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders"
+for _op, _test in (("is_null", "IS NULL"), ("is_not_null", "IS NOT NULL")):
+    register(
+        f"grid_filter_{_op}",
+        f"SELECT o_orderkey FROM ({_HOLES}) WHERE o_orderpriority {_test}",
+        lambda s, d, op=_op: grid.project(grid.where(table(s, d, "orders").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority"))), {"o_orderpriority": Filter(op)}), ["o_orderkey"]),
+    )
 _filtered("grid_filters_and", "lineitem", {"l_returnflag": Filter("eq", "A"), "l_quantity": Filter("gte", "40"), "l_tax": Filter("lt", "")}, "l_returnflag = 'A' AND l_quantity >= 40", LINE)
 
 
@@ -600,11 +605,11 @@ _console("join_inner", "SELECT n_name, count(*) AS customers FROM customer JOIN
 _console("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 _console("join_full", "SELECT coalesce(a.k, b.k) AS k, a.n AS suppliers, b.n AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) a FULL OUTER JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) b ON a.k = b.k")
 _console("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_console("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_console("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_orderpriority LIKE '1%'", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 _console("join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 _console("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 _console("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-_console("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+_console("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 _console("window_rank", "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders")
 _console("window_lag", "SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
 _console("window_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_quantity ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS q FROM lineitem")
