@@ -58,6 +58,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a table, dealt over all cores where its files cannot be split into as many tasks; larger tables are read as they lie."""
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if tasks >= cores else df.repartition(cores)
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within BROADCAST_ROWS; otherwise unchanged, and the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

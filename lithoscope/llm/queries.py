@@ -38,14 +38,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_phrases(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    found = find_phrases(common.spread(common.table(spark, sf_dir, "documents")), common.table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), items_digest().alias("items_sha256"), is_contaminated().alias("contaminated")
     )
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents"))
     return bpe_round_trip(docs, public_tokenizers.path(WORD_TOKENIZER), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
@@ -55,7 +55,7 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(common.table(spark, sf_dir, "documents"))
+    found = scan_secrets(common.spread(common.table(spark, sf_dir, "documents")))
     shown = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(shown, ",").alias("spans"))
 
@@ -65,7 +65,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents"))
     counts = token_counts(docs, public_tokenizers.path(WORD_TOKENIZER))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
