@@ -570,6 +570,41 @@ register(
 )
 
 
+LINE_COLUMNS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+def _storage_rules(s: SparkSession, d: str) -> DataFrame:
+    """What the rules of compression and Bloom filters suggest for lineitem."""
+    from .operators.storage import rules
+    from .sources import footer
+
+    rows = table(s, d, "lineitem")
+    types = grid.logical_types(rows)
+    found = {r["name"]: r.asDict() for r in probes.probes(rows, types, exact=True).collect()}
+    rolled = {r["top"]: r.asDict() for r in footer.column_rollup(footer.column_chunks(s, f"{d}/lineitem.parquet")).collect()}
+    made = [x for n, t in types.items() for x in (rules.compression_suggestion(n, rolled[n]), rules.bloom_suggestion(n, t, found[n], rolled[n], bool(rolled[n]["all_bloom"]))) if x]
+    return s.createDataFrame([(x.id, x.severity, x.saves) for x in made], "id string, severity string, saves bigint")
+
+
+register(
+    "storage_rules",
+    _read_by_duckdb(
+        "lineitem",
+        "WITH m AS (SELECT path_in_schema AS c, string_agg(DISTINCT compression, ', ') AS codec, sum(total_compressed_size) AS packed, sum(total_uncompressed_size) AS plain, bool_and(bloom_filter_offset IS NOT NULL) AS bloom FROM {footer} GROUP BY 1), d AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS d FROM lineitem" for c in LINE_COLUMNS)
+        + ") SELECT 'compression:' || c AS id, 'medium' AS severity, round_even(packed * 0.25, 0)::BIGINT AS saves FROM m WHERE codec = 'SNAPPY' AND plain > 1048576 AND plain < 3 * packed UNION ALL SELECT 'bloom:' || c, 'low', NULL FROM m JOIN d USING (c) WHERE d >= 10000 AND NOT bloom",
+    ),
+    _storage_rules,
+)
+_IN_ORDER = ["o_orderkey", "o_custkey", "o_totalprice"]
+register(
+    "columns_in_order",
+    "WITH r AS (SELECT * FROM read_parquet('/root/testdata/sf0*/orders.parquet', file_row_number = true, filename = true) WHERE filename IN (SELECT file_name FROM parquet_file_metadata('/root/testdata/sf0*/orders.parquet') WHERE num_rows = (SELECT count(*) FROM orders))) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS name, coalesce(bool_and(c >= p), true) AS sorted FROM (SELECT {c} AS c, lag({c}) OVER (ORDER BY file_row_number) AS p FROM r WHERE {c} IS NOT NULL)" for c in _IN_ORDER),
+    lambda s, d: probes.sorted_columns(table(s, d, "orders"), _IN_ORDER),
+)
+
+
 def _rewritten(s: SparkSession, d: str) -> DataFrame:
     from .operators.storage import rewrite, rules
 
