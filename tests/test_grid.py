@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from lithoscope.plans import console, grid
+from lithoscope.sources.catalog import write_csv
 from lithoscope.plans.grid import Filter
 
 
@@ -92,3 +93,12 @@ def test_console_dialect():
     assert r("SELECT x FROM t USING SAMPLE 10 ROWS") == "SELECT * FROM (SELECT x FROM t) ORDER BY rand() LIMIT 10"
     assert r("SELECT x FROM t using sample 5%;") == "SELECT * FROM (SELECT x FROM t) WHERE rand() < 5 / 100.0"
     assert r("SELECT 'USING SAMPLE 5' FROM t") == "SELECT 'USING SAMPLE 5' FROM t" and r("SELECT * FROM read_parquet('a''b.parquet')") == "SELECT * FROM `a'b.parquet`"
+
+
+def test_csv_parts_and_one_file(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "concat('a,', id) as text").repartition(3)
+    for single, files in ((False, 3), (True, 1)):
+        path = tmp_path / str(single)
+        write_csv(df, f"file://{path}", single=single)
+        assert len(list(path.glob("part-*"))) == files
+        assert sorted((int(r.id), r.text) for r in spark.read.option("header", True).csv(f"file://{path}").collect()) == [(i, f"a,{i}") for i in range(100)]
