@@ -215,9 +215,8 @@ def fit_over(positive: np.ndarray, texts: DataFrame, prior: float, seed: int = S
     """
     spark = texts.sparkSession
     path = common.shared_dir(spark)
-    rows = common.stored(_feature_rows(texts, []), f"{path}/features")
-    total = rows.count()
-    packed = common.stored(_packed(rows, max(1, -(-total // SHARD_ROWS))), f"{path}/shards")
+    total = texts.count()  # reads identifiers only
+    packed = common.stored(_packed(_feature_rows(texts, []), max(1, -(-total // SHARD_ROWS))), f"{path}/shards")
     pieces = packed.count()
     n = len(positive)
     share = n / (n + total)
