@@ -17,12 +17,13 @@ name beside it (``name: x, value: v``).
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-_QUOTED = r'''"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^'\\]|\\.|'(?!\'\'))*\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`'''
+_QUOTED = r'''"""(?:[^"\\]+|\\.|"(?!""))*+"""|\'\'\'(?:[^'\\]+|\\.|'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]+|\\.)*+"|'(?:[^'\\\n]+|\\.)*+'|`[^`\n]*`'''
 _BARE = r"[A-Za-z0-9_$][A-Za-z0-9+/_.=\-$]*"
 #: Names that say nothing about their value; names whose value is the name of the value beside them.
 VALUE_NAMES, NAMING_NAMES = {"value", "val", "data", "default", "content", "text", "string", "raw", "plain"}, {"name", "key", "id"}
@@ -33,7 +34,7 @@ _TERM = re.compile(rf"(?P<quoted>(?P<prefix>[rbfuRBFU]{{0,2}})(?P<string>{_QUOTE
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|&)[ \t]*(?:\\?\r?\n[ \t]*)?(?=[\"'`A-Za-z0-9_$])|[ \t]*(?:\\\r?\n)?[ \t]*(?=[\"'])")
 _TYPE = r"[A-Za-z_][A-Za-z0-9_.\[\]|?*&<>]*(?:[ \t][A-Za-z0-9_.\[\]|?*&<>]+)?"
 _TOKEN = re.compile(
-    rf"""(?P<block>/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|<!--(?:[^-]|-(?!->))*(?:-->|\Z))
+    rf"""(?P<block>/\*(?:[^*]+|\*(?!/))*+(?:\*/|\Z)|<!--(?:[^-]+|-(?!->))*+(?:-->|\Z))
     |(?P<line>(?:(?<=[\x20\t\n])|\A)(?:\#(?!!)|//)[^\n]*|(?:(?<=\n)|\A)[\x20\t]*;[^\n]*)
     |(?P<function>\b(?:def|function|func|fn|sub|proc)\b)
     |(?P<section>(?:(?<=\n)|\A)[\x20\t]*\[[\x20\t]*(?P<section_name>{NAME})[\x20\t]*\][\x20\t]*(?=\r?\n|\Z))
@@ -49,6 +50,7 @@ _HEAD = re.compile(r"[ \t]*(?:=>|:=|=(?![=~])|:(?![:=]))")
 _WORDS = re.compile(NAME, re.ASCII)
 _COMMA = re.compile(r"[ \t\r\n]*,[ \t\r\n]*")
 _NEXT_STRING = re.compile(r"[ \t\r\n]*(?=[\"'])")
+_WHITE, _LEAD = re.compile(r"[ \t]*"), re.compile(r"[ \t\-]*")
 _MARKER = re.compile(r"<!--|/\*+|//+|\s*[#;]+")
 _LINE_END = re.compile(r"[ \t]*\r?\n")
 _OPENED = re.compile(rf"<({NAME})[^<>]*>\s*\Z", re.ASCII)
@@ -65,18 +67,11 @@ class Pair(NamedTuple):
     literals: list[list[tuple[int, int]]]
     names: list[str]
     place: int
-    scope: tuple[int, ...]
+    scope: list[float]  # from where to where the name is known
     comment: bool
     spaced: bool = False
 
 
-def _indent(text: str, at: int) -> int:
-    """Characters before the first that is not white space, of the line that holds a place."""
-    start = text.rfind("\n", 0, at) + 1
-    line = text[start:at]
-    return len(line) - len(line.lstrip(" \t"))
-
-
 def _inside(m: re.Match) -> list[tuple[int, int]]:
     """The spans within a string's quotes; a triple-quoted one has a span for each line."""
     string, a, b = m["string"], m.start("string"), m.end("string")
@@ -152,9 +147,8 @@ def _value(text: str, at: int, end: int) -> tuple[list[list[tuple[int, int]]], l
     return literals, names, at
 
 
-def _block(text: str, head: int, at: int, end: int) -> tuple[list[tuple[int, int]], int] | None:
-    """The lines of a YAML block scalar, or the values of items, after the head of a line; and where they end."""
-    indent = _indent(text, head)
+def _block(text: str, indent: int, at: int, end: int) -> tuple[list[tuple[int, int]], int] | None:
+    """The lines of a YAML block scalar, or the values of items, after the head of a line with that indent; and where they end."""
     scalar = _BLOCK_SCALAR.match(text, at, end)
     if scalar:
         stop = scalar.end()
@@ -169,7 +163,7 @@ def _block(text: str, head: int, at: int, end: int) -> tuple[list[tuple[int, int
     items, begin = [], _LINE_END.match(text, at, end)
     stop = begin.end() if begin else at
     while begin and (item := _ITEM.match(text, stop, end)):
-        if _indent(text, item.end() - len(item[0].lstrip(" \t"))) < indent:
+        if len(item[0]) - len(item[0].lstrip(" \t")) < indent:
             break
         kind = "quoted" if item["quoted"] else "bare"
         cut = 1 if kind == "quoted" else 0
@@ -184,15 +178,16 @@ def pairs_of(text: str, at: int = 0, end: int | None = None, comment: bool = Fal
     out: list[Pair] = []
     section: tuple[str, ...] = ()
     braces: list[tuple[str | None, bool]] = []  # the key and whether a function's body begins
-    scope: list[int] = []
+    scope: list[list[float]] = [[0, math.inf]]
     indented: list[tuple[int, int, str]] = []  # indent, kind (0: a function of indented lines, 1: a key), name
     function = False
-    number = 0
+    line = text.rfind("\n", 0, at) + 1  # where the line begins that holds the last token
     last: str | None = None  # the name of a head without value
     beside: str | None = None  # the literal of a naming head just before
-    begin = at
+    begin = seen = at
     while m := _TOKEN.search(text, at, end):
-        at = m.end()
+        line = max(line, text.rfind("\n", seen, m.start()) + 1)
+        seen, at = m.start(), m.end()
         if m["block"] is not None or m["line"] is not None:
             inner = _MARKER.match(text, m.start()).end()
             if comment:
@@ -203,27 +198,25 @@ def pairs_of(text: str, at: int = 0, end: int | None = None, comment: bool = Fal
         if m["open"]:
             body = function
             if body:
-                number += 1
-                scope.append(number)
+                scope.append([m.start(), math.inf])
             braces.append((last, body))
             function, last = False, None
             continue
         if m["close"]:
-            if braces and braces.pop()[1]:
-                scope.pop()
+            if braces and braces.pop()[1] and len(scope) > 1:
+                scope.pop()[1] = m.start()
             beside = None
             continue
-        indent = _indent(text, m.start())
-        first = not text[text.rfind("\n", begin, m.start()) + 1 : m.start()].strip(" \t-")
+        indent = _WHITE.match(text, line).end() - line
+        first = _LEAD.match(text, line).end() >= m.start()
         if first:
             while indented and indented[-1][0] >= indent:
-                if indented.pop()[1] == 0:
-                    scope.pop()
+                if indented.pop()[1] == 0 and len(scope) > 1:
+                    scope.pop()[1] = m.start()
         if m["function"] is not None:
             stop = text.find("\n", at, end)
-            if text[at : end if stop < 0 else stop].rstrip().endswith(":"):
-                number += 1
-                scope.append(number)
+            if text[max(at, (end if stop < 0 else stop) - 80) : end if stop < 0 else stop].rstrip().endswith(":"):
+                scope.append([m.start(), math.inf])
                 indented.append((indent, 0, ""))
             else:
                 function = True
@@ -234,10 +227,10 @@ def pairs_of(text: str, at: int = 0, end: int | None = None, comment: bool = Fal
         around = tuple(k for k, _ in braces[-2:] if k) or tuple(k for _, kind, k in indented[-2:] if kind) or section
         if m["element"] is not None:
             opened = _OPENED.search(text, max(begin, text.rfind("<", begin, m.start())), m.start())
-            out.append(Pair(m["element_name"], (opened[1],) if opened else around, [[m.span("element_value")]], [], m.start(), tuple(scope), comment))
+            out.append(Pair(m["element_name"], (opened[1],) if opened else around, [[m.span("element_value")]], [], m.start(), scope[-1], comment))
             continue
         name = m["argument"] or m["name"]
-        block = _block(text, m.start("name"), at, end) if m["op"] == ":" and first else None
+        block = _block(text, indent, at, end) if m["op"] == ":" and first else None
         if block:
             literals, names, at = [[s] for s in block[0]], [], block[1]
         else:
@@ -252,9 +245,9 @@ def pairs_of(text: str, at: int = 0, end: int | None = None, comment: bool = Fal
         low = name.lower()
         if beside and low in VALUE_NAMES:
             around = (beside,)
-        out.append(Pair(name, around, literals, names, m.start(), tuple(scope), comment))
+        out.append(Pair(name, around, literals, names, m.start(), scope[-1], comment))
         if m["op"] and len(m["op"]) > 2:  # "x: y = v": a type, or a name of its own
-            out.append(Pair(_WORDS.findall(m["op"])[-1], (), literals, names, m.start(), tuple(scope), comment))
+            out.append(Pair(_WORDS.findall(m["op"])[-1], (), literals, names, m.start(), scope[-1], comment))
         beside = text[slice(*literals[0][0])] if low in NAMING_NAMES and len(literals) == 1 and len(literals[0]) == 1 else None
     return out
 
@@ -266,12 +259,12 @@ def options_of(text: str) -> list[Pair]:
         for m in _OPTION.finditer(text):
             literals, names, _ = _value(text, m.end(), len(text))
             if literals:
-                out.append(Pair(m["name"], (), literals[:1], names, m.start(), (), False, bool(m["space"])))
+                out.append(Pair(m["name"], (), literals[:1], names, m.start(), [0, math.inf], False, bool(m["space"])))
     for m in _SPACED.finditer(text):
         a, b = m.span("value")
         if b - a > 2 and text[a] in "\"'" and text[b - 1] == text[a]:
             a, b = a + 1, b - 1
-        out.append(Pair(m["name"], (), [[(a, b)]], [], m.start(), (), False, True))
+        out.append(Pair(m["name"], (), [[(a, b)]], [], m.start(), [0, math.inf], False, True))
     return out
 
 
@@ -288,7 +281,7 @@ def propagated(pairs: list[Pair], score) -> list[float]:
             defined.setdefault(p.name, []).append(i)
             for other in p.names:
                 users.setdefault(other, []).append(i)
-    visible = lambda j, i: pairs[i].scope[: len(pairs[j].scope)] == pairs[j].scope
+    visible = lambda j, i: pairs[j].scope[0] <= pairs[i].place < pairs[j].scope[1]
     quoted = [any(x for x in p.literals) and not (p.names and all(n in defined for n in p.names) and len(p.literals) <= len(p.names)) for p in pairs]
     # What leads to a literal: forth in the order of places, or only with the help of later assignments.
     forth: dict[str, list[int]] = {}

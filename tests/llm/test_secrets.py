@@ -165,7 +165,12 @@ def test_long_texts_take_time_in_proportion():
         sc.literal_spans(text)
         took.append(time.perf_counter() - began)
     assert took[1] < 12 * took[0] + 0.5
-    for text in ("/*" * 50_000 + " password", "(" * 100_000 + "key", '"""' * 30_000 + "key=1", "password: " * 20_000, "<a><a>" * 20_000 + "key", "key = " + "'a' + " * 30_000):
+    minified = '{"a":[' + ",".join(f'{{"k{k}":{k},"token{k}":"{VALUE}{k}"}}' for k in range(20_000)) + "]}"
+    nested = "function f() {" * 20_000 + 'a = "x"; password = a; ' * 5_000
+    comment = "/* " + "x * y " * 200_000 + "*/ key = 1"
+    began = time.perf_counter()
+    assert len(literals(minified)) == 20_000 and time.perf_counter() - began < 10
+    for text in (nested, comment, '"""' + "x\\n" * 300_000 + "key", "/*" * 50_000 + " password", "(" * 100_000 + "key", '"""' * 30_000 + "key=1", "password: " * 20_000, "<a><a>" * 20_000 + "key", "key = " + "'a' + " * 30_000):
         began = time.perf_counter()
         sc.literal_spans(text)
         assert time.perf_counter() - began < 5, text[:20]
