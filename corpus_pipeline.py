@@ -47,7 +47,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = exact_dedup(docs)
     gone_id, gone_sha = _unused("gone_id", docs), _unused("gone_sha", docs)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct()
-    gone = common.stored(gone, f"{common.shared_dir(spark)}/gone")
+    gone = common.stored_narrow(gone, f"{common.shared_dir(spark)}/gone")
     same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.sha2(normalised(F.col("text")), 256) == F.col(gone_sha))
     kept = docs.join(common.small_or_shuffled(gone, gone.count()), same, "left_anti").select(*docs.columns)
     rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
@@ -64,7 +64,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document, which is linked with all that any of its texts is, and stay or go together.
     """
     gone = near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    gone = common.stored(gone, f"{common.shared_dir(spark)}/gone")
+    gone = common.stored_narrow(gone, f"{common.shared_dir(spark)}/gone")
     return docs.join(common.small_or_shuffled(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -20,6 +20,8 @@ BROADCAST_ROWS = 200_000
 HOT_PARTS = 1000
 #: ... and at least so many rows.
 HOT_ROWS = 64
+#: Shuffle partitions whose rows go to one file of a narrow table, where Spark does not combine small partitions.
+PARTITIONS_PER_FILE = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +56,27 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_parts(df: DataFrame) -> DataFrame:
+    """df, whose rows are narrow, in few partitions to be written as few files; left alone where Spark combines small partitions itself.
+
+    Else a table of some rows takes a file per shuffle partition, and on a local disk Hadoop starts about three processes
+    for each (chmod of the file, its checksums and its folder), which share the executor's memory while they start.
+    What computes df keeps its tasks; only the finished rows are dealt anew, in turn, so a frequent key does not matter.
+    A task that is run again must give the same rows, in any order.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.adaptive.enabled") == "true" and conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true":
+        return df
+    partitions = int(conf.get("spark.sql.shuffle.partitions"))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-partitions // PARTITIONS_PER_FILE))
+    return df.repartition(parts) if parts < partitions else df
+
+
+def stored_narrow(df: DataFrame, path: str) -> DataFrame:
+    """stored() of narrow rows in any order."""
+    return stored(few_parts(df), path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -73,10 +73,10 @@ class DigestIndex:
         return [h.bitwiseAND(F.lit(self.blocks - 1)).alias("block"), functools.reduce(Column.bitwiseOR, bits).alias("mask")]
 
     def _written(self, runs: DataFrame, level: int) -> DataFrame:
-        return common.stored(runs.select("run", "digest", "first", "group_size").sortWithinPartitions("run", "digest"), f"{self.path}/level-{level}")
+        return common.stored(common.few_parts(runs.select("run", "digest", "first", "group_size")).sortWithinPartitions("run", "digest"), f"{self.path}/level-{level}")
 
     def _filters(self, masks: DataFrame, level: int) -> DataFrame:
-        return common.stored(masks.groupBy("run", "block").agg(F.bit_or("mask").alias("mask")), f"{self.path}/filters-{level}")
+        return common.stored_narrow(masks.groupBy("run", "block").agg(F.bit_or("mask").alias("mask")), f"{self.path}/filters-{level}")
 
     def probed(self) -> DataFrame:
         """The level's rows with the run of the next level that they go to, and hit: whether a filter of another run that goes there knows them."""
@@ -111,7 +111,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     index = DigestIndex(spark, common.shared_dir(spark), digest_bytes)
     index.load(docs, id_col, text_col)
-    groups = common.stored(index.compact().where("group_size > 1"), f"{index.path}/groups")
+    groups = common.stored_narrow(index.compact().where("group_size > 1"), f"{index.path}/groups")
     # Hot groups are broadcast, others as well if they are few; documents that are alone need no partner.
     hot = F.col("group_size") >= F.lit(max(common.HOT_ROWS, -(-index.rows // common.HOT_PARTS)))
     often = F.broadcast(groups.where(hot))
@@ -121,7 +121,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = F.col("group_size").isNull()
     rest = rest.select("digest", "doc_id", "sha", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
     decided = entries.join(often, "digest").select(*rest.columns).unionByName(rest)
-    members = common.stored(decided.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct(), f"{index.path}/members")
+    members = common.stored_narrow(decided.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct(), f"{index.path}/members")
     collided = _collisions(docs, members, id_col, text_col, digest_bytes, index.path)
     if collided is not None:
         wrong, regrouped = collided
@@ -148,7 +148,7 @@ def _collisions(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     kept = kept.select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     hits = texts.where(~stays).withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
     wrong = hits.join(kept, ["digest", "salt"]).where(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
-    wrong = common.stored(wrong, f"{path}/collided")
+    wrong = common.stored_narrow(wrong, f"{path}/collided")
     if wrong.isEmpty():
         common.remove(docs.sparkSession, f"{path}/texts")
         return None

@@ -216,7 +216,7 @@ class _Confirm:
                 good = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
 
-        pairs = common.stored(pairs.select("a", "b"), f"{self.path}/{name}-proposed")
+        pairs = common.stored_narrow(pairs.select("a", "b"), f"{self.path}/{name}-proposed")
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         sets = common.stored(self.sets(ids), f"{self.path}/{name}-sets")
         # No more than HOT_PARTS nodes can hold one HOT_PARTS-th of the pairs: these are dealt by a salt too.
@@ -229,16 +229,16 @@ class _Confirm:
         right = sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("second")).join(hot, "b", "left")
         right = right.select("b", "second", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
         joined = left.join(right, ["b", "salt"]).select("a", "b", "first", "second")
-        return common.stored(joined.mapInArrow(run, "a bigint, b bigint"), f"{self.path}/{name}-confirmed")
+        return common.stored_narrow(joined.mapInArrow(run, "a bigint, b bigint"), f"{self.path}/{name}-confirmed")
 
 
 def roots(parents: DataFrame, path: str) -> DataFrame:
     """doc_id and root, from doc_id and a smaller parent each, by pointer jumping."""
-    step, current = 0, common.stored(parents.select("doc_id", F.col("parent").alias("root")), f"{path}/roots-0")
+    step, current = 0, common.stored_narrow(parents.select("doc_id", F.col("parent").alias("root")), f"{path}/roots-0")
     while True:
         up = current.select(F.col("doc_id").alias("root"), F.col("root").alias("above"))
         step += 1
-        following = common.stored(current.join(up, "root", "left").select("doc_id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), f"{path}/roots-{step}")
+        following = common.stored_narrow(current.join(up, "root", "left").select("doc_id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), f"{path}/roots-{step}")
         moved = not following.where("moved").isEmpty()
         current = following.select("doc_id", "root")
         if not moved:
@@ -252,7 +252,7 @@ def components(edges: DataFrame, path: str) -> DataFrame:
     of the trees, and those within a tree go.  So a round reads only the edges that the rounds before left open.
     """
     ordered = lambda d: d.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    links, labels, step = common.stored(ordered(edges), f"{path}/links-0"), None, 0
+    links, labels, step = common.stored_narrow(ordered(edges), f"{path}/links-0"), None, 0
     while labels is None or not links.isEmpty():
         step += 1
         least = links.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("parent"))
@@ -262,11 +262,11 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         else:
             above = tree.select(F.col("doc_id").alias("root"), F.col("root").alias("above"))
             risen = labels.join(above, "root", "left").select("doc_id", F.coalesce("above", "root").alias("root"))
-            labels = common.stored(risen.unionByName(tree.join(labels, "doc_id", "left_anti")), f"{path}/labels-{step}")
+            labels = common.stored_narrow(risen.unionByName(tree.join(labels, "doc_id", "left_anti")), f"{path}/labels-{step}")
         of = lambda c: tree.select(F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
         open_links = links.join(of("a"), "a").select("b", F.col("root_a").alias("a")).where("a != b")
         open_links = open_links.join(of("b"), "b", "left").select("a", F.coalesce("root_b", "b").alias("b"))
-        links = common.stored(ordered(open_links), f"{path}/links-{step}")
+        links = common.stored_narrow(ordered(open_links), f"{path}/links-{step}")
     tops = labels.select("root").distinct()
     return labels.unionByName(tops.select(F.col("root").alias("doc_id"), "root"))
 
@@ -284,7 +284,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbered = common.stored(docs.withColumn("row", row), f"{path}/numbered")
     by_row = numbered.select(F.col("row").alias("doc_id"), "text")
     out = _near_dedup(by_row, common.stored(_signatures(by_row, "doc_id", "text", shingle), f"{path}/signatures-by-row"), shingle, percent, f"{path}/by-row")
-    out = common.stored(out.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part")), f"{path}/parts")
+    out = common.stored_narrow(out.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part")), f"{path}/parts")
     own = numbered.select("row", "doc_id").where("row is not null").join(out, "row")
     least = own.groupBy("doc_id").agg(F.min("part").alias("b"))
     over = components(own.join(least, "doc_id").select(F.col("part").alias("a"), "b").distinct(), f"{path}/same-id")
@@ -297,7 +297,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _near_dedup(docs: DataFrame, signed: DataFrame, shingle: int, percent: int, path: str) -> DataFrame:
     sets = signed.where("doc_id is not null and n_shingles > 0")
-    classes = common.stored(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), f"{path}/classes")
+    classes = common.stored_narrow(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), f"{path}/classes")
     total = sets.count()
     of_class = common.join_hot(sets.select("doc_id", "digest"), classes, ["digest"], "size", total).select("doc_id", "node")
     confirm = _Confirm(docs, shingle, percent, path)
@@ -306,7 +306,7 @@ def _near_dedup(docs: DataFrame, signed: DataFrame, shingle: int, percent: int,
     named = sets.join(common.small_or_shuffled(classes.where("size > 1").select("digest", "node"), classes.where("size > 1").count()), "digest", "left")
     named = named.where(F.col("node").isNull() | (F.col("node") == F.col("doc_id"))).select("doc_id", "sketch", "bands")
     sketches = named.select("doc_id", "sketch")
-    members = common.stored(_bucket_members(named.select(F.explode("bands").alias("key"), "doc_id")), f"{path}/members")
+    members = common.stored_narrow(_bucket_members(named.select(F.explode("bands").alias("key"), "doc_id")), f"{path}/members")
 
     # Of the smallest members that a node meets, the one met in most buckets is likeliest similar; the rest is left to step 4.
     stars = members.where("doc_id != least").groupBy(F.col("doc_id").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -324,10 +324,10 @@ def _near_dedup(docs: DataFrame, signed: DataFrame, shingle: int, percent: int,
         over = components(between, f"{path}/second").withColumnRenamed("root", "over")
         nodes = linked.select("doc_id", "root").join(over.select(F.col("doc_id").alias("root"), "over"), "root", "left").select("doc_id", F.coalesce("over", "root").alias("root"))
         rest = over.select("doc_id", F.col("over").alias("root")).join(linked, "doc_id", "left_anti")
-        top = common.stored(nodes.unionByName(rest), f"{path}/top").withColumnRenamed("doc_id", "node")
+        top = common.stored_narrow(nodes.unionByName(rest), f"{path}/top").withColumnRenamed("doc_id", "node")
     # Most documents are alone: only classes of several sets or copies are joined by shuffles of narrow rows.
     labels = of_class.join(top, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component"))
-    labels = common.stored(labels.where("component != doc_id"), f"{path}/labels")
+    labels = common.stored_narrow(labels.where("component != doc_id"), f"{path}/labels")
     out = signed.select("doc_id", "n_shingles").join(common.small_or_shuffled(labels, labels.count()), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -343,13 +343,13 @@ def _across(members: DataFrame, linked: DataFrame, sketches: DataFrame, confirm:
     """
     rows = members.select("key", "doc_id").join(linked, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc_id").alias("least")).where("low != high")
-    rows = common.stored(rows.join(mixed.select("key", "least"), "key").select("key", "doc_id", "root", "least"), f"{path}/mixed")
+    rows = common.stored_narrow(rows.join(mixed.select("key", "least"), "key").select("key", "doc_id", "root", "least"), f"{path}/mixed")
     if rows.isEmpty():
         return None
     homes = components(rows.select(F.col("doc_id").alias("a"), F.col("least").alias("b")), f"{path}/homes").withColumnRenamed("root", "home")
     sets = common.stored(confirm.sets(rows.select("doc_id").distinct()), f"{path}/across-sets")
     about = homes.join(sets.select("doc_id", (F.octet_length("codes") / 8).alias("size")), "doc_id")
-    rows = common.stored(rows.join(about, "doc_id").select("home", F.col("key").alias("bucket"), "doc_id", "root", "size"), f"{path}/placed")
+    rows = common.stored_narrow(rows.join(about, "doc_id").select("home", F.col("key").alias("bucket"), "doc_id", "root", "size"), f"{path}/placed")
     together = rows.withColumn("bucket", F.lit(0).cast("long")).distinct()
 
     def units(rows: DataFrame) -> DataFrame:
@@ -360,11 +360,11 @@ def _across(members: DataFrame, linked: DataFrame, sketches: DataFrame, confirm:
     whole, single = units(together), units(rows).where("minor > 0")
     apart = single.groupBy("home").agg(F.sum(F.col("all") * F.col("minor")).alias("work"))
     apart = whole.where(F.col("all") > BLOCK_SHINGLES).join(apart, "home").where("work < all * minor").select("home")
-    apart = common.stored(apart, f"{path}/apart")
+    apart = common.stored_narrow(apart, f"{path}/apart")
     apart = common.small_or_shuffled(apart, apart.count())
     blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK_SHINGLES), F.least(F.lit(LEAST_BLOCKS), F.ceil(F.col(c) / LEAST_SHINGLES)), F.lit(1)).cast("int")
     groups = whole.join(apart, "home", "left_anti").unionByName(single.join(apart, "home", "left_semi"))
-    groups = common.stored(groups.select("home", "bucket", "largest", blocks("all").alias("blocks"), blocks("minor").alias("minor_blocks")), f"{path}/groups")
+    groups = common.stored_narrow(groups.select("home", "bucket", "largest", blocks("all").alias("blocks"), blocks("minor").alias("minor_blocks")), f"{path}/groups")
     nodes = together.join(apart, "home", "left_anti").unionByName(rows.join(apart, "home", "left_semi"))
     placed = nodes.join(common.small_or_shuffled(groups, groups.count()), ["home", "bucket"]).drop("size")
     placed = placed.join(sketches, "doc_id").join(sets, "doc_id")
@@ -375,7 +375,7 @@ def _across(members: DataFrame, linked: DataFrame, sketches: DataFrame, confirm:
     both = minors.withColumn("role", F.lit(0)).select(*columns).unionByName(others.withColumn("role", F.lit(1)).select(*columns))
     units_of = both.repartition("home", "bucket", "m", "b").sortWithinPartitions("home", "bucket", "m", "b", "role")
     found = units_of.mapInArrow(_compare_blocks(confirm.percent), "a bigint, b bigint")
-    return common.stored(found, f"{path}/across")
+    return common.stored(found, f"{path}/across")  # which links stand for a group depends on the order of rows, so a task's links are written by itself
 
 
 class _Block:
