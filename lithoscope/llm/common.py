@@ -22,6 +22,8 @@ HOT_PARTS = 1000
 HOT_ROWS = 64
 #: Shuffle partitions whose rows go to one file of a narrow table, where Spark does not combine small partitions.
 PARTITIONS_PER_FILE = 16
+#: Bytes of texts that go to a Python worker at a time, besides the row that passes them.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,6 +79,17 @@ def stored_narrow(df: DataFrame, path: str) -> DataFrame:
     return stored(few_parts(df), path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold at most BATCH_BYTES, or less where it says so; rows stay whole.
+
+    Spark's 10,000 rows of a text each, and the buffers that double to hold them, lie outside of the executor's heap.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < most <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

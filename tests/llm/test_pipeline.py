@@ -4,6 +4,8 @@ import re
 
 import corpus_pipeline as cp
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from lithoscope.llm import common
@@ -156,3 +158,24 @@ def test_run_against_brute_force(spark, words, tmp_path):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = {i: hashlib.sha256(" ".join(map(str, tok.encode(t or "", add_special_tokens=False).ids)).encode()).hexdigest() for i, t in left}
     assert got == want and 4000 not in got and 2000 in got
+
+
+@pytest.mark.parametrize("stage", ["quality", "near", "decontaminate", "encode"])
+def test_batches_of_texts_are_bounded_by_bytes(spark, stage, monkeypatch):
+    tables = {"labels": "doc_id long, quality int", "benchmark": "item_id string, text string"}
+    monkeypatch.setattr(common, "table", lambda spark, sf_dir, name: spark.createDataFrame([], tables[name]))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    try:
+        dict(cp.STAGES)[stage](spark, spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), "")
+        found = spark.range(0, 3000, 1, 1).selectExpr("repeat('abcd', 1000) as text").mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in found) == 3000 and max(r.bytes for r in found) < 2 * common.BATCH_BYTES
+        spark.conf.set(key, "1m")
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
